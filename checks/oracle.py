@@ -40,7 +40,7 @@ VIEWS["seen"] = f"""
 SELECT *, coalesce(regexp_replace(lower(fmt), '[^a-z0-9_-]', '', 'g') = 'md', false) AS is_md,
   CASE WHEN bot IS NULL AND user_agent <> '' THEN coalesce(heur, '') ELSE '' END AS unknown_token
 FROM (SELECT *, {first_of("user_agent", BOT_TOKENS)} AS bot, {first_of("user_agent", UNKNOWN_TOKENS)} AS heur,
-  CASE WHEN length(params) > 0 THEN url_decode(substr(params[-1], 8)) END AS fmt
+  CASE WHEN length(params) > 0 THEN url_decode(substr(params[-1], 8)) ELSE '' END AS fmt
   FROM (SELECT *, list_filter(string_split(ltrim(query_string, '?'), '&'), lambda p: starts_with(p, 'format=')) AS params FROM ae))"""
 
 VIEWS["log"] = """

@@ -38,7 +38,8 @@ def day_bucket(ts: Column) -> Column:
 
 def to_second(ts: Column) -> Column:
     """Drop the fraction of a second, staying zone-free (``date_trunc`` would not)."""
-    return ts - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), ts) % 1)
+    of_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return F.timestamp_add("SECOND", of_day, F.to_date(ts).cast("timestamp_ntz"))
 
 
 def date_axis(as_of: AsOf, days: int) -> Column:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +20,8 @@ from trailmark.config import (
 )
 from trailmark.functions.text import (
     ascii_fold,
+    ascii_match_fold,
+    bind,
     fold_token,
     query_param,
     sanitize_key,
@@ -39,27 +40,57 @@ def bot_tokens(settings: Settings) -> list[str]:
     return [line for line in lines if line] or list(BOT_TOKENS)
 
 
-def first_token(user_agent: Column, tokens: Sequence[str]) -> Column:
-    """First token in list order that the user agent contains, ignoring ASCII case; else null."""
-    folded = ascii_fold(text(user_agent))
+def contains_any(user_agent: Column, tokens: Sequence[str]) -> Column:
+    """True if a non-empty agent contains any token, ignoring ASCII case only.
+
+    One compiled pattern over the text; its case-insensitive mode folds ASCII letters alone.
+    Tokens that contain another token add nothing to it.
+    """
+    folded = {fold_token(t) for t in tokens}
+    needed = sorted(t for t in folded if not any(o != t and o in t for o in folded))
+    if not needed:
+        return F.lit(False)
+    agent = text(user_agent)
+    pattern = "|".join(re.sub(r"([^\w/ -])", r"\\\1", t, flags=re.ASCII) for t in needed)
+    return (agent != "") & agent.rlike(f"(?i)(?:{pattern})")
+
+
+def match_fold(user_agent: Column, *token_lists: Sequence[str]) -> Column:
+    """The agent folded for ``first_in`` with these tokens."""
+    ascii_only = all(t.isascii() for tokens in token_lists for t in tokens)
+    agent = text(user_agent)
+    return ascii_match_fold(agent) if ascii_only else ascii_fold(agent)
+
+
+def first_in(folded: Column, tokens: Sequence[str]) -> Column:
+    """First token in list order contained in an already folded, non-empty text; else null."""
+    if not tokens:
+        return F.lit(None).cast("string")
     if len(tokens) <= _CHAIN:
-        hits = [F.when(folded.contains(fold_token(t)), F.lit(t)) for t in tokens]
-        hit = F.coalesce(*hits) if hits else F.lit(None).cast("string")
+        hit = F.coalesce(*[F.when(folded.contains(fold_token(t)), F.lit(t)) for t in tokens])
     else:
-        pairs = F.array(*[F.struct(F.lit(fold_token(t)).alias("f"), F.lit(t).alias("t")) for t in tokens])
-        hit = F.get(F.filter(pairs, lambda p: folded.contains(p["f"])), F.lit(0))["t"]
+        names = F.array(*[F.lit(t) for t in tokens])
+        needles = F.array(*[F.lit(fold_token(t)) for t in tokens])
+        hit = F.get(F.filter(names, lambda _, i: folded.contains(F.get(needles, i))), F.lit(0))
     return F.when(folded != "", hit)
 
 
+def first_token(user_agent: Column, tokens: Sequence[str]) -> Column:
+    """First token in list order that the user agent contains, ignoring ASCII case; else null."""
+    return bind(match_fold(user_agent, tokens), lambda folded: first_in(folded, tokens))
+
+
 def is_bot_ua(user_agent: Column, tokens: Sequence[str] = BOT_TOKENS) -> Column:
-    folded = ascii_fold(text(user_agent))
-    if len(tokens) <= _CHAIN:
-        any_hit = reduce(or_, [folded.contains(fold_token(t)) for t in tokens], F.lit(False))
-    else:
-        any_hit = F.exists(
-            F.array(*[F.lit(fold_token(t)) for t in tokens]), lambda t: folded.contains(t)
-        )
-    return (folded != "") & any_hit
+    return contains_any(user_agent, tokens)
+
+
+def is_unknown_ua(
+    user_agent: Column,
+    tokens: Sequence[str] = BOT_TOKENS,
+    unknown_tokens: Sequence[str] = UNKNOWN_TOKENS,
+) -> Column:
+    """Looks like a bot but is on no list."""
+    return contains_any(user_agent, unknown_tokens) & ~contains_any(user_agent, tokens)
 
 
 def unknown_ua_match(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,14 @@ def text(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once: a one-element array gives the value a name.
+
+    Without it Catalyst writes the value's expression out at every use.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(col: Column) -> Column:
     return F.btrim(col, F.lit(BLANKS))
 
@@ -32,6 +40,16 @@ def ascii_fold(col: Column) -> Column:
     return F.translate(col, _UPPER, _LOWER)
 
 
+def ascii_match_fold(col: Column) -> Column:
+    """Lower-cased text for finding ASCII needles: much cheaper than ``ascii_fold``.
+
+    The two characters whose lower case is an ASCII letter are put out of the way first.
+    """
+    for stray in ("\u212a", "\u0130"):
+        col = F.replace(col, F.lit(stray), F.lit("\ufffd"))
+    return F.lower(col)
+
+
 def fold_token(token: str) -> str:
     return token.translate(str.maketrans(_UPPER, _LOWER))
 
@@ -49,20 +67,17 @@ def query_string(uri: Column) -> Column:
 
 
 def query_param(query: Column, name: str) -> Column:
-    """Decoded value of the last parameter called ``name``; null if there is none.
+    """Decoded value of the last parameter called ``name``; '' if there is none.
 
     Works on the raw text because ``parse_url`` rejects real-world URLs and keeps the first
     of duplicate parameters. A list parameter (``name[]=``) has no scalar value and reads ''.
     """
-    key = re.escape(name)
-    bare = F.regexp_replace(text(query), r"^\?|#.*$", "")
-    found = F.regexp_extract_all(
-        bare, F.lit(rf"(?<![^&]){key}(?:\[[^=&]*)?(?:=[^&]*)?(?![^&])"), F.lit(0)
-    )
-    value = F.regexp_extract(F.try_element_at(found, F.lit(-1)), f"^{key}=(.*)$", 1)
+    # The greedy start makes the first match found the last parameter of that name.
+    last = rf"^\??(?:[^#]*&)?{re.escape(name)}(?:=([^&#]*)|\[[^&#]*)?(?:[&#].*)?$"
+    value = F.when(query.contains(name), F.regexp_extract(query, last, 1)).otherwise(F.lit(""))
     # A lone percent sign stands for itself.
-    decoded = F.try_url_decode(F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25"))
-    return F.when(bare.contains(name), decoded)
+    escaped = F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25")
+    return text(F.when(value.rlike("[%+]"), F.try_url_decode(escaped)).otherwise(value))
 
 
 def url_path(uri: Column) -> Column:

@@ -18,12 +18,15 @@ from trailmark.config import (
 from trailmark.functions.clock import to_second
 from trailmark.functions.detect import (
     bot_tokens,
-    first_token,
+    contains_any,
+    first_in,
     ip_hash,
+    is_bot_ua,
+    is_unknown_ua,
+    match_fold,
     query_param_md,
     resolve_bot_name,
     should_serve,
-    unknown_ua_match,
 )
 from trailmark.functions.text import byte_length, clean_url, text
 from trailmark.sources.schemas import LOG_COLUMNS
@@ -42,19 +45,46 @@ def detect(
     """Add ``is_md``, ``bot_token``, ``served`` and ``unknown_token`` to raw requests."""
     bots = bot_tokens(settings) if bots is None else list(bots)
     is_md = query_param_md(F.col("query_string"), settings.query_param_name)
-    token = first_token(F.col("user_agent"), bots)
-    served = should_serve(is_md, token.isNotNull(), settings.detection_mode)
-    if serve_override is not None:
-        served = F.coalesce(serve_override(served), F.lit(False))
-    return events.select(
-        "*",
-        is_md.alias("is_md"),
-        token.alias("bot_token"),
-        served.alias("served"),
-        unknown_ua_match(F.col("user_agent"), bots, unknown_tokens).alias("unknown_token"),
+    agent, folded = F.col("user_agent"), F.col("_folded")
+    return (
+        events.withColumns({"is_md": is_md, "_folded": match_fold(agent, bots, unknown_tokens)})
+        .withColumn("bot_token", first_in(folded, bots))
+        .select(
+            *events.columns,
+            "is_md",
+            "bot_token",
+            _served(F.col("is_md"), F.col("bot_token").isNotNull(), settings, serve_override).alias("served"),
+            text(F.when(F.col("bot_token").isNull(), first_in(folded, unknown_tokens))).alias("unknown_token"),
+        )
     )
 
 
+def _served(is_md: Column, is_bot: Column, settings: Settings, override: ColumnHook | None) -> Column:
+    served = should_serve(is_md, is_bot, settings.detection_mode)
+    return served if override is None else F.coalesce(override(served), F.lit(False))
+
+
+def kept_requests(
+    settings: Settings,
+    bots: Sequence[str],
+    unknown_tokens: Sequence[str],
+    serve_override: ColumnHook | None = None,
+) -> Column:
+    """Requests that become log rows, as a test on raw columns.
+
+    It needs no token names, so it runs as one pattern search next to the scan, and the rows it
+    keeps are the only ones whose names are looked up.
+    """
+    is_md = query_param_md(F.col("query_string"), settings.query_param_name)
+    agent, unknown = F.col("user_agent"), settings.log_unknown_uas
+    if serve_override is None and settings.detection_mode != "query_param":
+        # An unlisted bot-like agent is kept as well, so both lists are one search.
+        either = contains_any(agent, [*bots, *unknown_tokens] if unknown else bots)
+        return either if settings.detection_mode == "ua" else is_md | either
+    served = _served(is_md, is_bot_ua(agent, bots), settings, serve_override)
+    return served | is_unknown_ua(agent, bots, unknown_tokens) if unknown else served
+
+
 def unknown_ua_gate(settings: Settings) -> Column:
     """Requests logged as unknown: not served and a heuristic token found."""
     if not (settings.enable_logging and settings.log_unknown_uas):
@@ -64,6 +94,7 @@ def unknown_ua_gate(settings: Settings) -> Column:
 
 def log_gate(rows: DataFrame, settings: Settings, allow: Column | None = None) -> DataFrame:
     """No rows while logging is off; otherwise those the optional predicate lets through."""
+    # Decided when the plan is built: a switched-off log reads nothing.
     if not settings.enable_logging:
         return rows.filter(F.lit(False))
     return rows if allow is None else rows.filter(F.coalesce(allow, F.lit(False)))
@@ -105,11 +136,15 @@ def classify(
     Works on batch and streaming frames alike. Both kinds of row come from one pass with a
     conditional, since a request is either served or a candidate for ``unknown``.
     """
+    bots = bot_tokens(settings) if bots is None else list(bots)
+    kept = log_gate(events, settings, allow).filter(
+        kept_requests(settings, bots, unknown_tokens, serve_override)
+    )
     seen = detect(
-        events, settings, bots=bots, unknown_tokens=unknown_tokens, serve_override=serve_override
+        kept, settings, bots=bots, unknown_tokens=unknown_tokens, serve_override=serve_override
     )
     served = F.col("served")
-    context = seen.filter(served | unknown_ua_gate(settings)).select(
+    context = seen.select(
         "id",
         "post_id",
         request_url(F.col("uri"), site_root).alias("url"),
@@ -122,7 +157,7 @@ def classify(
         F.when(served, F.col("cache_hit")).otherwise(F.lit(0)).alias("cache_hit"),
         "created_at",
     )
-    return log_normalise(log_gate(context, settings, allow), salt).select(LOG_COLUMNS)
+    return log_normalise(context, salt).select(LOG_COLUMNS)
 
 
 def servable_requests(

@@ -18,6 +18,9 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    # Recording a Python call site for every column costs more than planning these queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
