@@ -151,11 +151,11 @@ def chart_json(s, d):
 @query
 def markdown_store_upsert(s, d):
     path = shared_folder(s)
-    tables.write_store(s, b.markdown_store(s, d), path)
+    tables.write_store(s, b.markdown_store(s, d), path, 8)
     fresh = b.posts(s, d).select(
         F.col("id").alias("post_id"), F.concat(F.lit("# new "), "post_title").alias("markdown"), F.lit(None).alias("error")
     )
-    tables.write_store(s, markdown.stored(fresh, AS_OF, TTL), path)
+    tables.write_store(s, markdown.stored(fresh, AS_OF, TTL), path, 8)
     return tables.read_store(s, path)
 
 
@@ -749,10 +749,10 @@ def stream_cache_hit(s, d):
 @query
 def stream_markdown_refresh(s, d):
     out = shared_folder(s)
-    tables.write_store(s, b.markdown_store(s, d), f"{out}/store")
+    tables.write_store(s, b.markdown_store(s, d), f"{out}/store", 8)
     pages = s.readStream.schema(b.pages(s, d).schema).option("pathGlobFilter", "pages.parquet").parquet(d)
     saves = pages.select((F.col("page_id") + 1).alias("post_id"))
     jobs.stream_markdown_refresh(
-        saves, lambda: b.posts(s, d), b.authors(s, d), f"{out}/store", f"{out}/state", as_of=AS_OF
+        saves, lambda: b.posts(s, d), b.authors(s, d), f"{out}/store", f"{out}/state", as_of=AS_OF, buckets=8
     ).awaitTermination()
     return tables.read_store(s, f"{out}/store")

@@ -88,14 +88,22 @@ def misses(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
     """Ids of the requests that miss."""
     life = int(ttl) + 1
     instants = _written(_instants(requests, saves, life))
-    reached = instants.groupBy("post_id", "segment").agg(F.min("t").alias("t")).select("post_id", "t")
-    jumps = _written(_links(instants, life))
-    while not jumps.isEmpty():
-        onward = reached.join(jumps, ["post_id", "t"]).select("post_id", F.col("next").alias("t"))
-        reached = _written(reached.unionByName(onward))
-        then = jumps.select("post_id", F.col("t").alias("next"), F.col("next").alias("then"))
-        jumps = _written(jumps.join(then, ["post_id", "next"]).select("post_id", "t", F.col("then").alias("next")))
-    return instants.join(reached, ["post_id", "t"], "left_semi").select("id")
+    first = instants.groupBy("post_id", "segment").agg(F.min("t").alias("t")).select("post_id", "t")
+    first = first.withColumn("reached", F.lit(True))
+    links = _links(instants, life)
+    keys = ["post_id", "t"]
+    steps = instants.select(keys).join(links, keys, "left").join(first, keys, "left")
+    steps = _written(steps.fillna(False, subset=["reached"]))
+    # Each round every reached miss reaches the one a step ahead, and steps become twice as long.
+    while not steps.filter("reached AND next IS NOT NULL").isEmpty():
+        after = steps.select("post_id", F.col("t").alias("next"), F.col("next").alias("then"))
+        longer = steps.join(after, ["post_id", "next"], "left").select(*keys, F.col("then").alias("next"), "reached")
+        onward = steps.filter("reached AND next IS NOT NULL").select(
+            "post_id", F.col("next").alias("t"), F.lit(None).cast("long").alias("next"), "reached"
+        )
+        merged = longer.unionByName(onward).groupBy(keys)
+        steps = _written(merged.agg(F.max("next").alias("next"), F.bool_or("reached").alias("reached")))
+    return instants.join(steps.filter("reached").select(keys), keys, "left_semi").select("id")
 
 
 def cache_hit_labels(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:

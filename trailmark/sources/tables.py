@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.clock import AsOf, day_bucket
 from trailmark.operators.traffic import export_rows, retention_cutoff
 from trailmark.session import shared_folder
-from trailmark.sources.schemas import ACCESS_EVENTS, LOG_COLUMNS, MARKDOWN_STORE, REQUEST_LOG, STORED_LOG
+from trailmark.sources.schemas import ACCESS_EVENTS, LOG_COLUMNS, MARKDOWN_STORE, REQUEST_LOG, STORED_LOG, STORED_MARKDOWN
 
 
 def read_access_events(
@@ -107,19 +107,23 @@ def write_store(spark: SparkSession, rows: DataFrame, path: str, buckets: int =
     """Merge new rows into the Markdown table, rewriting only the buckets they fall into.
 
     Posts are spread over bucket directories by hash. The merged buckets are staged first and
-    then replace the old ones.
+    then replace the old ones. A table keeps the number of buckets it was created with.
     """
-    bucket = F.pmod(F.xxhash64("post_id"), F.lit(buckets)).cast("int")
+    prefix = f"of{buckets}_"
+    bucket = F.concat(F.lit(prefix), F.pmod(F.xxhash64("post_id"), F.lit(buckets)).cast("string"))
     incoming = rows.withColumn("bucket", bucket)
     staged = shared_folder(spark)
     hadoop, where, fs = _file_system(spark, path)
     merged = incoming
     if fs.exists(where):
-        old = spark.read.schema(MARKDOWN_STORE).parquet(path)
+        names = [entry.getPath().getName() for entry in fs.listStatus(where)]
+        if any(n.startswith("bucket=") and not n.startswith(f"bucket={prefix}") for n in names):
+            raise ValueError(f"{path} was created with another number of buckets than {buckets}")
+        old = spark.read.schema(STORED_MARKDOWN).parquet(path)
         touched = old.join(incoming.select("bucket").distinct(), "bucket", "left_semi")
         kept = touched.join(incoming.select("post_id"), "post_id", "left_anti")
         merged = kept.select(incoming.columns).unionByName(incoming)
     merged.repartition("bucket").write.partitionBy("bucket").parquet(staged)
-    final = spark.read.schema(MARKDOWN_STORE).parquet(staged)
+    final = spark.read.schema(STORED_MARKDOWN).parquet(staged)
     writer = final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("bucket").parquet(path)

@@ -88,6 +88,7 @@ def stream_markdown_refresh(
     checkpoint: str,
     settings: Settings = Settings(),
     as_of: AsOf = None,
+    buckets: int = 512,
     **build,
 ) -> StreamingQuery:
     """Re-convert the posts named by save events and merge them into the Markdown table.
@@ -100,7 +101,7 @@ def stream_markdown_refresh(
         changed = batch.select(F.col("post_id").alias("id")).distinct()
         rows = posts().join(changed, "id", "left_semi")
         built = markdown_documents(rows, authors, settings=settings, **build)
-        write_store(batch.sparkSession, stored(built, as_of, settings.cache_ttl), store_path)
+        write_store(batch.sparkSession, stored(built, as_of, settings.cache_ttl), store_path, buckets)
 
     return (
         saves.writeStream.foreachBatch(write)
