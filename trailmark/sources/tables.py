@@ -84,7 +84,8 @@ def export_csv(log: DataFrame, path: str, as_of: AsOf = None, days: int = 30) ->
     """Write the export as CSV parts with header, each part sorted and the parts in order."""
     rows = export_rows(log, as_of, days)
     stamped = rows.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
-    stamped.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "emptyValue": ""}
+    stamped.write.options(header=True, **exact).csv(path)
 
 
 def write_text_documents(documents: DataFrame, path: str) -> None:
