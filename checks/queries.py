@@ -32,9 +32,13 @@ def query(f: Query) -> Query:
     return f
 
 
-def listed(s, d, n=100, whole_page=False):
+def listed(s, d, n=100):
     types = postops.listed_types(b.PUBLIC_TYPES)
-    return postops.listed_posts(b.posts(s, d, whole_page), types, n, postops.noindex_posts(b.post_meta(s, d)))
+    return postops.listed_posts(b.posts(s, d), types, n, postops.noindex_posts(b.post_meta(s, d)))
+
+
+def listed_with_content(s, d):
+    return postops.with_content(listed(s, d), b.posts(s, d))
 
 
 def servable(s, d):
@@ -661,18 +665,17 @@ def listed_posts(s, d):
 
 @query
 def llms_index(s, d):
-    return publish.llms_index(b.sites(s, d), listed(s, d))
+    return publish.llms_index(b.sites(s, d), listed_with_content(s, d))
 
 
 def sections(s, d):
-    rows = listed(s, d)
-    md = corpus.bundle_markdown(rows, b.markdown_store(s, d), AS_OF, authors=b.authors(s, d))
-    return publish.bundle_sections(b.sites(s, d), rows, md)
+    rows = corpus.bundle_rows(listed_with_content(s, d), b.markdown_store(s, d), b.authors(s, d), AS_OF)
+    return publish.bundle_sections(b.sites(s, d), rows)
 
 
 @query
 def llms_full(s, d):
-    return corpus.full_bundles(b.sites(s, d), listed(s, d), b.markdown_store(s, d), AS_OF, authors=b.authors(s, d))
+    return corpus.full_bundles(b.sites(s, d), listed_with_content(s, d), b.markdown_store(s, d), b.authors(s, d), AS_OF)
 
 
 @query

@@ -87,10 +87,11 @@ def test_bundle_cap_is_a_prefix(spark):
 
 def test_bundles_fill_the_cap(spark):
     cap = 20_000
-    listed = posts.listed_posts(b.posts(spark, SF), ["post", "page"], 100)
-    markdown = corpus.markdown_documents(listed, b.authors(spark, SF))
-    sections = publish.bundle_sections(b.sites(spark, SF), listed, markdown).cache()
-    docs = publish.llms_full(b.sites(spark, SF), listed, markdown, cap)
+    every = b.posts(spark, SF)
+    listed = posts.with_content(posts.listed_posts(every, ["post", "page"], 100), every)
+    rows = corpus.bundle_rows(listed, b.markdown_store(spark, SF), b.authors(spark, SF), b.AS_OF)
+    sections = publish.bundle_sections(b.sites(spark, SF), rows).cache()
+    docs = publish.llms_full(b.sites(spark, SF), rows, cap)
     size = {r.site: len(r.document.encode()) for r in docs.collect()}
     kept = {(r.site, r.id) for r in publish.llms_full_cap(sections, cap).collect()}
     for site, rows in _by_site(sections):
@@ -178,6 +179,11 @@ def test_refresh_rebuilds_only_stale_posts(spark):
     assert again.count() == b.posts(spark, SF).count()
 
 
+def test_refresh_converts_once(spark):
+    refreshed = corpus.markdown_refresh(b.posts(spark, SF), b.markdown_store(spark, SF), b.authors(spark, SF), as_of=b.AS_OF)
+    assert refreshed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_hooks_shape_documents(spark):
     docs = corpus.markdown_documents(
         frame(spark, post(1)),

@@ -97,3 +97,13 @@ def test_kept_and_expired_make_all(spark):
 def test_rate_label(spark):
     rows = log(spark, *[hit("2024-01-31 01:00:00", cached=c) for c in (1, 0, 0, 0, 0, 0, 0, 0)])
     assert traffic.summary_scalars(rows, AS_OF).first().hit_rate_label == "13%"
+
+
+def test_titled_top_scans_the_log_once(spark):
+    from trailmark import bindings as b
+
+    sf = "/root/testdata/sf0.001"
+    top = traffic.top_posts_titled(b.request_log(spark, sf, 30), b.posts(spark, sf), b.AS_OF)
+    top.collect()
+    final = top._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert final.count("ReusedExchange") == 1 and final.count("FileScan parquet [event_id") == 1

@@ -62,7 +62,8 @@ def _instants(requests: DataFrame, saves: DataFrame, life: int) -> DataFrame:
         .agg(F.min("id").alias("id"), F.max("save").alias("save"))
         .withColumn("cell", F.floor(F.col("at") / life))
     )
-    placed = _nearest(seconds, "save", ahead=False).filter("id IS NOT NULL")
+    # Both passes below start from this reduction, not from the raw requests.
+    placed = _nearest(_written(seconds), "save", ahead=False).filter("id IS NOT NULL")
     return placed.select(
         "post_id", "cell", F.col("at").alias("t"), "id", F.coalesce("near", F.lit(-(2**62))).alias("segment")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -132,6 +134,7 @@ def assemble(
     site_url: Column | None = None,
     offset_minutes: int = 0,
     markdown_output: ColumnHook | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``post_id, markdown`` of converted posts: header, body, optional metadata block, hook."""
     parts = [document_header(settings, offset_minutes), F.col("markdown")]
@@ -145,7 +148,7 @@ def assemble(
     whole = F.concat(*parts)
     if markdown_output is not None:
         whole = markdown_output(whole)
-    return posts.select(F.col("id").alias("post_id"), whole.alias("markdown"), "error")
+    return posts.select(F.col("id").alias("post_id"), whole.alias("markdown"), "error", *keep)
 
 
 def stored(documents: DataFrame, built_at: AsOf, ttl: int) -> DataFrame:

@@ -85,13 +85,21 @@ def meta_flags(post_meta: DataFrame) -> DataFrame:
     )
 
 
-def noindex_posts(post_meta: DataFrame, **used: bool) -> DataFrame:
-    """Ids of posts marked not to index."""
-    flags = meta_flags(post_meta)
-    mark = noindex(
-        F.col("meta_yoast_noindex"), F.col("meta_rankmath_robots"), F.col("meta_genesis_noindex"), **used
-    )
-    return flags.filter(mark).select("post_id")
+def noindex_posts(
+    post_meta: DataFrame, *, flag_a_used: bool = True, robots_used: bool = True
+) -> DataFrame:
+    """Ids of posts marked not to index.
+
+    One mark is enough, so rows are tested where they are and only the few hits are shuffled.
+    """
+    key, value = F.col("key"), F.col("value")
+    marked = (key == GENESIS_NOINDEX_KEY) & (value == "1")
+    if flag_a_used:
+        marked = marked | ((key == YOAST_NOINDEX_KEY) & (value == "1"))
+    if robots_used:
+        robots = F.split(value, r"\s*,\s*")
+        marked = marked | ((key == RANK_MATH_ROBOTS_KEY) & F.array_contains(robots, "noindex"))
+    return post_meta.filter(marked).select("post_id").distinct()
 
 
 def servable_posts(posts: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
@@ -127,12 +135,21 @@ def listed_posts(
     hidden: DataFrame | None = None,
     site: str | None = "site",
 ) -> DataFrame:
-    """Newest ``n`` published posts, then the servable among them: fewer than ``n`` may stay."""
-    published = with_status(posts, "publish", types)
+    """Newest ``n`` published posts, then the servable among them: fewer than ``n`` may stay.
+
+    Ranking sorts its rows, so the content is left behind; ``with_content`` fetches it for the
+    few posts that are listed.
+    """
+    published = with_status(posts.drop("post_content"), "publish", types)
     newest = per_site_limit(published, n, site) if site else published.orderBy(*newest_first()).limit(n)
     return servable_posts(newest, hidden)
 
 
+def with_content(listed: DataFrame, posts: DataFrame) -> DataFrame:
+    """Add ``post_content`` to listed posts."""
+    return posts.select("id", "post_content").join(listed, "id").select(*listed.columns, "post_content")
+
+
 def collect_terms(post_terms: DataFrame) -> DataFrame:
     """Sorted term names per post and taxonomy."""
     return post_terms.groupBy("post_id", "taxonomy").agg(

@@ -62,14 +62,13 @@ def bundle_header(name: Column) -> Column:
     return F.concat(F.lit("# "), name, F.lit(" — full content\n\n"))
 
 
-def bundle_sections(sites: DataFrame, listed: DataFrame, markdown: DataFrame) -> DataFrame:
-    """Sections of listed posts with their sizes and the size of their site's header."""
-    bodies = markdown.select(F.col("post_id").alias("id"), "markdown")
+def bundle_sections(sites: DataFrame, rows: DataFrame) -> DataFrame:
+    """Sections of ``rows(site, id, post_date, markdown)`` with their sizes and that of the header."""
     section = F.concat(F.col("markdown"), F.lit("\n\n---\n\n"))
+    headers = sites.select("site", byte_length(bundle_header(F.col("name"))).alias("header_bytes"))
     return (
-        listed.select("site", "id", "post_date")
-        .join(bodies, "id")
-        .join(sites.select("site", byte_length(bundle_header(F.col("name"))).alias("header_bytes")), "site")
+        rows.filter(F.col("markdown").isNotNull())
+        .join(headers, "site")
         .select("site", "id", "post_date", "header_bytes", section.alias("section"))
         .withColumn("section_bytes", byte_length(F.col("section")))
     )
@@ -88,10 +87,8 @@ def llms_full_cap(sections: DataFrame, max_bytes: int = BUNDLE_MAX_BYTES) -> Dat
     return sized.filter(F.col("running_bytes") <= max_bytes)
 
 
-def llms_full(
-    sites: DataFrame, listed: DataFrame, markdown: DataFrame, max_bytes: int = BUNDLE_MAX_BYTES
-) -> DataFrame:
-    kept = llms_full_cap(bundle_sections(sites, listed, markdown), max_bytes)
+def llms_full(sites: DataFrame, rows: DataFrame, max_bytes: int = BUNDLE_MAX_BYTES) -> DataFrame:
+    kept = llms_full_cap(bundle_sections(sites, rows), max_bytes)
     return document(sites, ordered_concat(kept, "section", "site"), bundle_header(F.col("name")))
 
 

@@ -21,9 +21,16 @@ def markdown_stale(posts: DataFrame, store: DataFrame, as_of: AsOf = None) -> Da
 
 
 def markdown_store_upsert(store: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """The store with ``new_rows`` in place of the old rows of the same posts."""
-    kept = store.join(new_rows.select("post_id"), "post_id", "left_anti")
-    return kept.select(store.columns).unionByName(new_rows.select(store.columns))
+    """The store with ``new_rows`` in place of the old rows of the same posts.
+
+    One outer join reads each side once: new rows are freshly converted and costly to repeat.
+    """
+    new = new_rows.select([F.col(c).alias(f"_new_{c}") for c in store.columns])
+    both = store.join(new, F.col("post_id") == F.col("_new_post_id"), "full_outer")
+    replaced = F.col("_new_post_id").isNotNull()
+    return both.select(
+        [F.when(replaced, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in store.columns]
+    )
 
 
 def last_saves(post_saves: DataFrame) -> DataFrame:

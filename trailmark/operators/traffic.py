@@ -113,10 +113,9 @@ def top_posts_titled(
     """
     top = top_posts(log, as_of, days, limit)
     titles = posts.select(F.col("id").alias("post_id"), "post_title")
-    if limit <= 10_000:
-        wanted = titles.join(F.broadcast(top.select("post_id")), "post_id", "left_semi")
-    else:
-        wanted = titles.join(top.select("post_id"), "post_id", "left_semi")
+    # Naming last_seen keeps both uses of the aggregate alike, so its shuffle is computed once.
+    ids = top.filter(F.col("last_seen").isNotNull()).select("post_id")
+    wanted = titles.join(F.broadcast(ids) if limit <= 10_000 else ids, "post_id", "left_semi")
     return top.join(wanted, "post_id", "left").select(
         "post_id",
         F.coalesce("post_title", F.lit("")).alias("post_title"),

@@ -55,21 +55,28 @@ def markdown_refresh(
     return markdown_store_upsert(store, stored(built, as_of, settings.cache_ttl))
 
 
-def bundle_markdown(listed: DataFrame, store: DataFrame, as_of: AsOf = None, **build) -> DataFrame:
-    """Markdown of listed posts: live stored text as it is, the rest built now."""
-    ids = listed.select(F.col("id").alias("post_id"))
-    reused = live_rows(store, as_of).join(ids, "post_id", "left_semi").select("post_id", "markdown")
-    missing = listed.join(reused.select(F.col("post_id").alias("id")), "id", "left_anti")
-    built = markdown_documents(missing, **build).select("post_id", "markdown")
-    return reused.unionByName(built)
+def bundle_rows(listed: DataFrame, store: DataFrame, authors: DataFrame, as_of: AsOf = None, **build) -> DataFrame:
+    """``site, id, post_date, markdown`` of listed posts with content.
+
+    Live stored Markdown is used as it is. Only posts without it hand their HTML to the
+    conversion, so the listed posts run through one pipeline once.
+    """
+    live = live_rows(store, as_of).select(F.col("post_id").alias("id"), F.col("markdown").alias("stored"))
+    rows = listed.join(live, "id", "left")
+    needed = rows.withColumn("post_content", F.when(F.col("stored").isNull(), F.col("post_content")))
+    built = markdown_documents(needed, authors, keep=("site", "post_date", "stored"), **build)
+    return built.select(
+        "site", F.col("post_id").alias("id"), "post_date", F.coalesce("stored", "markdown").alias("markdown")
+    )
 
 
 def full_bundles(
     sites: DataFrame,
     listed: DataFrame,
     store: DataFrame,
+    authors: DataFrame,
     as_of: AsOf = None,
     max_bytes: int = BUNDLE_MAX_BYTES,
     **build,
 ) -> DataFrame:
-    return publish.llms_full(sites, listed, bundle_markdown(listed, store, as_of, **build), max_bytes)
+    return publish.llms_full(sites, bundle_rows(listed, store, authors, as_of, **build), max_bytes)

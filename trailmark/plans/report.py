@@ -46,8 +46,7 @@ def analytics_report(
     """The parts of the analytics page, lazily; none while logging is off.
 
     Nothing is cached: every part reads only its own two or three columns of the window's day
-    partitions, which costs less than keeping the wide slice. The daily counts feed the series,
-    and the exchange under them is shared.
+    partitions, which costs less than keeping the wide slice.
     """
     if not settings.enable_logging:
         return {}

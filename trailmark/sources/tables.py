@@ -107,15 +107,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def write_store(spark: SparkSession, rows: DataFrame, path: str, buckets: int = 512) -> None:
     """Merge new rows into the Markdown table, rewriting only the buckets they fall into.
 
-    Posts are spread over bucket directories by hash. The merged buckets are staged first and
-    then replace the old ones. A table keeps the number of buckets it was created with.
+    Posts are spread over bucket directories by hash. New rows are written aside first, as they
+    may be costly to compute; the merged buckets are staged too and then replace the old ones.
+    A table keeps the number of buckets it was created with.
     """
     prefix = f"of{buckets}_"
     bucket = F.concat(F.lit(prefix), F.pmod(F.xxhash64("post_id"), F.lit(buckets)).cast("string"))
-    incoming = rows.withColumn("bucket", bucket)
-    staged = shared_folder(spark)
+    aside = shared_folder(spark)
+    rows.select(*MARKDOWN_STORE.fieldNames(), bucket.alias("bucket")).write.parquet(aside)
+    merged = incoming = spark.read.schema(STORED_MARKDOWN).parquet(aside)
     hadoop, where, fs = _file_system(spark, path)
-    merged = incoming
     if fs.exists(where):
         names = [entry.getPath().getName() for entry in fs.listStatus(where)]
         if any(n.startswith("bucket=") and not n.startswith(f"bucket={prefix}") for n in names):
@@ -124,6 +125,7 @@ def write_store(spark: SparkSession, rows: DataFrame, path: str, buckets: int =
         touched = old.join(incoming.select("bucket").distinct(), "bucket", "left_semi")
         kept = touched.join(incoming.select("post_id"), "post_id", "left_anti")
         merged = kept.select(incoming.columns).unionByName(incoming)
+    staged = shared_folder(spark)
     merged.repartition("bucket").write.partitionBy("bucket").parquet(staged)
     final = spark.read.schema(STORED_MARKDOWN).parquet(staged)
     writer = final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
