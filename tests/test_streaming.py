@@ -34,7 +34,7 @@ def test_daily_hits_stream(spark, tmp_path):
     log = requests.classify(shuffled_events(spark, tmp_path), b.LOGGING, salt=b.SALT)
     out = str(tmp_path / "daily")
     jobs.stream_daily_hits(log, out, str(tmp_path / "state"), "40 days").awaitTermination()
-    rollup = jobs.read_daily_hits(spark, out)
+    rollup = tables.read_daily_hits(spark, out)
     batch = traffic.daily_bot_hits(b.request_log(spark, SF), b.AS_OF, 365)
     assert rollup.count() == batch.count() and rollup.select(batch.columns).exceptAll(batch).count() == 0
 

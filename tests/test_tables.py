@@ -122,3 +122,12 @@ def test_access_events_in_several_formats(spark, tmp_path, fmt):
     if fmt == "csv":
         back = back.fillna("", subset=["query_string", "user_agent", "remote_addr"])
     assert back.exceptAll(raw).count() == 0 and back.count() == raw.count()
+
+
+def test_access_events_as_stream(spark, tmp_path):
+    raw, path = b.access_events(spark, SF), str(tmp_path / "in")
+    raw.repartition(3).write.parquet(path)
+    stream = tables.read_access_events(spark, path, stream=True, maxFilesPerTrigger="2")
+    writer = stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).exceptAll(raw).count() == 0

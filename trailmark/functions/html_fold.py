@@ -55,16 +55,16 @@ ENTITIES = {**name2codepoint, "apos": 39}
 LANGUAGE = re.compile(r"(?:^|\s)language-(\w+)", re.A)
 # ---------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(
+_MARKUP = re.compile(
     r"""(?P<note><!--.*?(?:-->|\Z)|<[!?][^>]*>?)
       | </(?P<end>[a-zA-Z][^\s>/]*)[^>]*>?
-      | <(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*(?=>)|[^>]*)>?
-      | (?P<text>[^<]+|<)""",
+      | <(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*(?=>)|[^>]*)>?""",
     re.S | re.X,
 )
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _ENTITY = re.compile(r"&(?:#[xX]([0-9a-fA-F]+);?|#([0-9]+);?|([a-zA-Z][a-zA-Z0-9]*);)")
-_SPACE = re.compile(r"\s+", re.A)
+# Whitespace runs other than a single blank, which may stay as it is.
+_SPACE = re.compile(r" \s+|[^\S ]\s*", re.A)
 _NEWLINE = re.compile(r"\s*\n\s*", re.A)
 _PARAGRAPHS = re.compile(r"\n{2,}")
 
@@ -213,11 +213,18 @@ def fold(html: str, drop_raw_text: bool = False) -> str:
 
     at, size = 0, len(html)
     while at < size:
-        token = _TOKEN.match(html, at)
+        stop = html.find("<", at)
+        token = _MARKUP.match(html, stop) if stop >= 0 else None
+        if token is None:
+            # The rest of the text, or up to and with a "<" that starts no markup.
+            upto = size if stop < 0 else stop + 1
+            waiting.append(decode(html[at:upto]))
+            at = upto
+            continue
+        if stop > at:
+            waiting.append(decode(html[at:stop]))
         at = token.end()
-        if token["text"] is not None:
-            waiting.append(decode(token["text"]))
-        elif token["tag"] is not None:
+        if token.lastgroup == "attrs":
             tag, source = token["tag"].lower(), token["attrs"]
             if tag in SHELL:
                 continue
@@ -248,7 +255,7 @@ def fold(html: str, drop_raw_text: bool = False) -> str:
                 if not drop_raw_text:
                     waiting.append(html[at:stop])
                 at = stop
-        elif token["end"] is not None:
+        elif token.lastgroup == "end":
             tag = token["end"].lower()
             rank = END_RANK.get(tag, DEFAULT_RANK)
             for i in range(len(stack) - 1, 0, -1):

@@ -59,3 +59,5 @@ MARKDOWN_STORE = _schema(
     ("post_id", _LONG), ("markdown", _STR), ("built_at", _TS), ("expires_at", _TS)
 )
 STORED_MARKDOWN = _schema(*[(f.name, f.dataType) for f in MARKDOWN_STORE], ("bucket", _STR))
+
+DAILY_HITS = _schema(("bot_name", _STR), ("hits", _LONG), ("dt", T.DateType()))

@@ -4,21 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trailmark.functions.clock import AsOf, day_bucket
 from trailmark.operators.traffic import export_rows, retention_cutoff
 from trailmark.session import shared_folder
-from trailmark.sources.schemas import ACCESS_EVENTS, LOG_COLUMNS, MARKDOWN_STORE, REQUEST_LOG, STORED_LOG, STORED_MARKDOWN
+from trailmark.sources.schemas import (
+    ACCESS_EVENTS,
+    DAILY_HITS,
+    LOG_COLUMNS,
+    MARKDOWN_STORE,
+    REQUEST_LOG,
+    STORED_LOG,
+    STORED_MARKDOWN,
+)
+
+
+# A stream takes in this much per micro-batch unless told otherwise, which bounds what one hot
+# post can bring into a stateful task.
+STREAM_LIMIT = 4 << 30
 
 
 def read_access_events(
     spark: SparkSession, path: str, fmt: str = "parquet", *, stream: bool = False, **options: str
 ) -> DataFrame:
     """Raw requests with the fixed schema, as a batch or as a stream."""
+    if stream and not {"maxFilesPerTrigger", "maxBytesPerTrigger"} & set(options):
+        options["maxBytesPerTrigger"] = str(STREAM_LIMIT)
     reader = spark.readStream if stream else spark.read
     return reader.format(fmt).options(**options).schema(ACCESS_EVENTS).load(path)
 
 
+def replace_partitions(rows: DataFrame, schema: StructType, path: str, *columns: str) -> None:
+    """Replace the partitions ``rows`` fall into, leaving all others.
+
+    Rows usually derive from the table itself, so they are staged first. The rebalance hint lets
+    AQE split large partitions and pack small ones instead of one file per task and partition.
+    """
+    spark, staged = rows.sparkSession, shared_folder(rows.sparkSession)
+    rows.select(schema.fieldNames()).write.parquet(staged)
+    final = spark.read.schema(schema).parquet(staged).hint("rebalance", *columns)
+    writer = final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*columns).parquet(path)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The request log with its ``dt`` partition column."""
     return spark.read.schema(STORED_LOG).parquet(path).select(*LOG_COLUMNS, "dt")
@@ -29,12 +58,15 @@ def _dated(rows: DataFrame, batch_id: int) -> DataFrame:
     return dated.withColumn("batch", F.lit(batch_id).cast("long"))
 
 
-def append_log(rows: DataFrame, path: str) -> None:
+def append_log(rows: DataFrame, path: str, rebalance: bool = False) -> None:
     """Append log rows into day partitions.
 
-    Tasks keep their rows, so a busy day is written by many tasks and no row is shuffled.
+    Tasks keep their rows, so a busy day is written by many tasks and no row is shuffled. For
+    input in no time order, ``rebalance`` gathers days first to avoid many small files.
     """
-    _dated(rows, -1).write.mode("append").partitionBy("dt", "batch").parquet(path)
+    dated = _dated(rows, -1)
+    dated = dated.hint("rebalance", "dt") if rebalance else dated
+    dated.write.mode("append").partitionBy("dt", "batch").parquet(path)
 
 
 def write_log_batch(rows: DataFrame, batch_id: int, path: str) -> None:
@@ -58,19 +90,15 @@ def prune_log(spark: SparkSession, path: str, as_of: AsOf = None, days: int = 30
     cutoff = retention_cutoff(as_of, days)
     last_day = str(spark.range(1).select(F.to_date(cutoff)).first()[0])
     stored = spark.read.schema(STORED_LOG).parquet(path)
-    staged = shared_folder(spark)
-    boundary = stored.filter((F.col("dt") == last_day) & (F.col("created_at") >= cutoff))
-    boundary.write.parquet(staged)
-    kept = spark.read.schema(STORED_LOG).parquet(staged)
+    kept = stored.filter((F.col("dt") == last_day) & (F.col("created_at") >= cutoff))
     emptied = kept.isEmpty()
+    if not emptied:
+        replace_partitions(kept, STORED_LOG, path, "dt", "batch")
     hadoop, where, fs = _file_system(spark, path)
     for entry in fs.listStatus(where):
         day = entry.getPath().getName().removeprefix("dt=")
         if entry.isDirectory() and day[:1].isdigit() and (day < last_day or (emptied and day == last_day)):
             fs.delete(entry.getPath(), True)
-    if not emptied:
-        writer = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("dt", "batch").parquet(path)
 
 
 def purge_log(spark: SparkSession, path: str) -> None:
@@ -121,12 +149,28 @@ def write_store(spark: SparkSession, rows: DataFrame, path: str, buckets: int =
         names = [entry.getPath().getName() for entry in fs.listStatus(where)]
         if any(n.startswith("bucket=") and not n.startswith(f"bucket={prefix}") for n in names):
             raise ValueError(f"{path} was created with another number of buckets than {buckets}")
-        old = spark.read.schema(STORED_MARKDOWN).parquet(path)
-        touched = old.join(incoming.select("bucket").distinct(), "bucket", "left_semi")
-        kept = touched.join(incoming.select("post_id"), "post_id", "left_anti")
+        # At most ``buckets`` names, and with them the scan skips all other buckets.
+        touched = [row[0] for row in incoming.select("bucket").distinct().collect()]
+        old = spark.read.schema(STORED_MARKDOWN).parquet(path).filter(F.col("bucket").isin(touched))
+        kept = old.join(incoming.select("post_id"), "post_id", "left_anti")
         merged = kept.select(incoming.columns).unionByName(incoming)
-    staged = shared_folder(spark)
-    merged.repartition("bucket").write.partitionBy("bucket").parquet(staged)
-    final = spark.read.schema(STORED_MARKDOWN).parquet(staged)
-    writer = final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("bucket").parquet(path)
+    replace_partitions(merged, STORED_MARKDOWN, path, "bucket")
+
+
+def read_daily_hits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DAILY_HITS).parquet(path).select("dt", "bot_name", "hits")
+
+
+def merge_daily_hits(changed: DataFrame, path: str) -> None:
+    """Put changed day counts in place of the old ones; doing it again changes nothing.
+
+    Rows are one per bot and open day, so both sides are small however large the log is.
+    """
+    spark = changed.sparkSession
+    hadoop, where, fs = _file_system(spark, path)
+    merged = changed.select(DAILY_HITS.fieldNames())
+    if fs.exists(where):
+        days = [row[0] for row in changed.select("dt").distinct().collect()]
+        old = read_daily_hits(spark, path).filter(F.col("dt").isin(days))
+        merged = old.join(changed, ["dt", "bot_name"], "left_anti").select(merged.columns).unionByName(merged)
+    replace_partitions(merged, DAILY_HITS, path, "dt")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +14,7 @@ from trailmark.operators.markdown import stored
 from trailmark.operators.requests import classify
 from trailmark.operators.traffic import named_bot_rows
 from trailmark.plans.corpus import markdown_documents
-from trailmark.sources.tables import write_log_batch, write_store
+from trailmark.sources.tables import merge_daily_hits, write_log_batch, write_store
 
 
 def stream_classify(
@@ -57,12 +57,13 @@ def daily_hits(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def stream_daily_hits(log: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour") -> StreamingQuery:
-    """Keep a rollup table current: each changed day count replaces the last one."""
+    """Keep a rollup table by day current: each changed count replaces the last one."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        versioned = batch.withColumn("batch", F.lit(batch_id))
-        writer = versioned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch").parquet(path)
+        # A few rows per open day, used three times by the merge.
+        changed = batch.persist()
+        merge_daily_hits(changed, path)
+        changed.unpersist()
 
     return (
         daily_hits(log, lateness)
@@ -74,12 +75,6 @@ def stream_daily_hits(log: DataFrame, path: str, checkpoint: str, lateness: str
     )
 
 
-def read_daily_hits(spark: SparkSession, path: str) -> DataFrame:
-    """The rollup: of every day and bot the count written last."""
-    rows = spark.read.schema("dt date, bot_name string, hits long, batch long").parquet(path)
-    return rows.groupBy("dt", "bot_name").agg(F.max_by("hits", "batch").alias("hits"))
-
-
 def stream_markdown_refresh(
     saves: DataFrame,
     posts: Callable[[], DataFrame],
