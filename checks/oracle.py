@@ -473,7 +473,7 @@ SELECT site, CASE WHEN is_public THEN {NL} || '# Markdown versions of content fo
   'Sitemap: https://' || site || '/botfood-sitemap.xml' || {NL} ELSE '' END AS robots FROM sites""",
     "savings_report": """
 SELECT site, count(*) AS posts, CAST(sum(h) AS BIGINT) AS html_bytes, CAST(sum(m) AS BIGINT) AS markdown_bytes,
-  CAST(sum(h) // 4 AS BIGINT) AS html_tokens, CAST(sum(m) // 4 AS BIGINT) AS markdown_tokens, round(CAST(sum(h) AS DOUBLE) / sum(m), 6) AS ratio
+  CAST(sum(h) // 4 AS BIGINT) AS html_tokens, CAST(sum(m) // 4 AS BIGINT) AS markdown_tokens, round(quantile_disc(CAST(h AS DOUBLE) / m, 0.5), 6) AS median_ratio, round(CAST(sum(h) AS DOUBLE) / sum(m), 6) AS ratio
 FROM (SELECT site, octet_length(encode(post_content)) AS h, octet_length(encode(markdown)) AS m FROM posts JOIN md USING (id)) GROUP BY site""",
     "stream_classify": LOG_ALL,
     "stream_daily_hits": "SELECT CAST(created_at AS DATE) AS dt, bot_name, count(*) AS hits FROM log GROUP BY ALL",

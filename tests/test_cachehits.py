@@ -22,7 +22,7 @@ def walk(requests, saves, ttl):
             else:
                 out[i] = int(until is not None and t <= until)
                 if not out[i]:
-                    until = t + ttl
+                    until = t + ttl if ttl else float("inf")
     return out
 
 
@@ -43,7 +43,7 @@ def sample(seed, n, span):
     return requests, saves
 
 
-@pytest.mark.parametrize(("seed", "n", "span", "ttl"), [(1, 400, 3000, 60), (2, 300, 100_000, 3600), (3, 200, 500, 1), (4, 50, 90, 500)])
+@pytest.mark.parametrize(("seed", "n", "span", "ttl"), [(1, 400, 3000, 60), (2, 300, 100_000, 3600), (3, 200, 500, 1), (4, 50, 90, 500), (6, 300, 400_000, 0)])
 def test_batch_equals_walk(spark, seed, n, span, ttl):
     requests, saves = sample(seed, n, span)
     labels = cache_hit_labels(*frames(spark, requests, saves), ttl)

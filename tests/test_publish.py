@@ -71,6 +71,12 @@ def test_types():
     assert posts.listed_types(public) == ["post", "page"]
 
 
+def test_no_types_left_filters_nothing(spark):
+    rows = frame(spark, post(1), post(2, kind="attachment"))
+    assert posts.type_filter(rows, posts.allowed_types(["post", "attachment"], ["gone"])).count() == 2
+    assert posts.type_filter(rows, ["post"]).count() == 1
+
+
 def test_settings_are_merged_and_checked():
     saved = Settings.from_saved({"detection_mode": "odd", "cache_ttl": 5, "log_retention_days": 8, "x": 1, "query_param_name": ""})
     good = saved.validated()
@@ -153,7 +159,7 @@ def test_token_lists_as_data(spark):
     tokens = botlist.effective_tokens(saved).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     got = {r.k: [x.token for x in r.t] for r in tokens.collect()}
     assert got[1] == ["A", "B"] and got[2][0] == "GPTBot" and len(got[3]) == 14
-    found = spark.createDataFrame([(1, "B"), (2, " New ")], "k int, user_agent string")
+    found = spark.createDataFrame([(1, "B"), (2, " New<i> ")], "k int, user_agent string")
     grown = {r.k: r.bot_list for r in botlist.bot_list_add(saved, found).collect()}
     assert grown == {1: "A\nB", 2: "New", 3: ""}
     kept = {r.k: r.bot_list for r in botlist.bot_list_add(saved, found, extend_defaults=True).collect()}

@@ -169,6 +169,7 @@ def test_routes(spark):
     assert route("/llms.txt") == route("llms.txt/?a=1") == "index"
     assert route("/llms-full.txt#x") == "bundle"
     assert route("https://s.org/botfood-sitemap.xml") == "sitemap"
+    assert route("/llms%20.txt") == "index"
     assert route("/en/llms.txt") == route("/") == "other"
     assert route("/llms.txt", llmstxt_enabled=False) == "other"
     assert route("/botfood-sitemap.xml", sitemap_enabled=False) == "other"
@@ -190,6 +191,8 @@ def test_add_query_param(spark, url, result):
 
 
 def test_text_columns(spark):
+    assert one(spark, text.sanitize_text(F.col("h")), h=" a<b>\n\tc%20d  e ") == "a cd e"
+    assert [one(spark, text.filled(F.col("h")), h=v) for v in ("0", "", None, "00")] == ["", "", "", "00"]
     assert one(spark, text.trim_words(F.col("h"), 3), h=" <p>a <b>b</b></p><style>x y</style> c\n d") == "a b c&hellip;"
     assert one(spark, text.trim_words(F.col("h"), 4), h="a b  c d ") == "a b c d"
     assert one(spark, text.trim_words(F.col("h")), h=" ") == ""

@@ -25,6 +25,7 @@ from trailmark.functions.text import (
     fold_token,
     query_param,
     sanitize_key,
+    sanitize_text,
     text,
     trim,
     url_path,
@@ -128,7 +129,7 @@ def ip_hash(address: Column, salt: str) -> Column:
 
 def endpoint_route(uri: Column, settings: Settings = Settings()) -> Column:
     """Which published document a URI asks for: index, bundle, sitemap or other."""
-    path = url_path(uri)
+    path = url_path(sanitize_text(uri))
     route = F.when(F.lit(settings.llmstxt_enabled) & (path == INDEX_PATH), F.lit("index"))
     route = route.when(F.lit(settings.llmstxt_enabled) & (path == BUNDLE_PATH), F.lit("bundle"))
     route = route.when(F.lit(settings.sitemap_enabled) & (path == SITEMAP_PATH), F.lit("sitemap"))

@@ -23,6 +23,18 @@ def text(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def filled(col: Column) -> Column:
+    """``col`` unless it counts as empty: null, '' and, as in form values, '0' become ''."""
+    return F.when(text(col) != "0", text(col)).otherwise(F.lit(""))
+
+
+def sanitize_text(col: Column) -> Column:
+    """One line of plain text: no tags, no percent-encoded bytes, single blanks, trimmed."""
+    bare = F.regexp_replace(text(col), r"(?s)<[a-zA-Z/!?][^>]*>", "")
+    bare = F.regexp_replace(bare, "(?i)%[a-f0-9]{2}", "")
+    return trim(F.regexp_replace(bare, "[\r\n\t ]+", " "))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` computed once: a one-element array gives the value a name.
 

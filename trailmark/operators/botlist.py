@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.config import BOT_TOKENS
-from trailmark.functions.text import ascii_fold, parse_token_list, text, trim
+from trailmark.functions.text import ascii_fold, parse_token_list, sanitize_text, text, trim
 
 
 def effective_tokens(saved: DataFrame, list_col: str = "bot_list") -> DataFrame:
@@ -55,8 +55,10 @@ def bot_list_add(
     keys = [c for c in saved.columns if c != list_col]
     start = F.array(*[F.lit(t) for t in BOT_TOKENS]) if extend_defaults else F.array().cast("array<string>")
     blank = trim(text(F.col(list_col))) == ""
-    lines = F.when(blank, start).otherwise(parse_token_list(F.col(list_col)))
-    agent = trim(text(F.col("user_agent")))
+    # A line that reads "0" counts as empty here, unlike when the list is used.
+    kept = F.filter(parse_token_list(F.col(list_col)), lambda line: line != "0")
+    lines = F.when(blank, start).otherwise(kept)
+    agent = sanitize_text(F.col("user_agent"))
     grown = F.when(
         (agent == "") | F.array_contains(lines, agent), lines
     ).otherwise(F.array_append(lines, agent))

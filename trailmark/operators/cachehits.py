@@ -87,12 +87,15 @@ def _links(instants: DataFrame, life: int) -> DataFrame:
 
 def misses(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
     """Ids of the requests that miss."""
-    life = int(ttl) + 1
+    # Without a time to live only saves end an entry, and the cells are merely days.
+    life = int(ttl) + 1 if ttl else 86_400
     instants = _written(_instants(requests, saves, life))
     first = instants.groupBy("post_id", "segment").agg(F.min("t").alias("t")).select("post_id", "t")
     first = first.withColumn("reached", F.lit(True))
-    links = _links(instants, life)
     keys = ["post_id", "t"]
+    if not ttl:
+        return instants.join(first.select(keys), keys, "left_semi").select("id")
+    links = _links(instants, life)
     steps = instants.select(keys).join(links, keys, "left").join(first, keys, "left")
     steps = _written(steps.fillna(False, subset=["reached"]))
     # Each round every reached miss reaches the one a step ahead, and steps become twice as long.

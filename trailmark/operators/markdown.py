@@ -13,7 +13,7 @@ from trailmark.config import PREVIEW_CHARS, Settings
 from trailmark.functions import html_fold
 from trailmark.functions.clock import AsOf, iso_datetime, moment
 from trailmark.functions.headers import article_block, article_struct, quote_header, yaml_header
-from trailmark.functions.text import byte_length, text, trim
+from trailmark.functions.text import byte_length, filled, text, trim
 from trailmark.operators.requests import ColumnHook
 
 # Ship the helper with the task so that executors need no copy of this package.
@@ -82,7 +82,7 @@ def document_header(settings: Settings, offset_minutes: int = 0) -> Column:
     date = iso_datetime(F.col("post_date"), offset_minutes)
     common = F.col("post_title"), F.col("permalink"), F.col("author"), date
     if settings.include_frontmatter:
-        return yaml_header(*common, F.col("categories"), F.col("tags"), F.col("post_excerpt"))
+        return yaml_header(*common, F.col("categories"), F.col("tags"), filled(F.col("post_excerpt")))
     return quote_header(*common)
 
 
@@ -113,10 +113,13 @@ def savings_report(documents: DataFrame, key: str = "site") -> DataFrame:
     An addition: the published size claims in measurable form. A token is taken as four bytes.
     """
     html, md = byte_length(F.col("post_content")), byte_length(F.col("markdown"))
+    # A sketch, exact while a key has fewer rows than its accuracy.
+    median = F.percentile_approx(F.try_divide(html, md), 0.5, 10_000)
     sums = documents.groupBy(key).agg(
         F.count(F.lit(1)).alias("posts"),
         F.sum(html.cast("long")).alias("html_bytes"),
         F.sum(md.cast("long")).alias("markdown_bytes"),
+        F.round(median, 6).alias("median_ratio"),
     )
     return sums.select(
         "*",
@@ -154,9 +157,11 @@ def assemble(
 def stored(documents: DataFrame, built_at: AsOf, ttl: int) -> DataFrame:
     """Store rows of freshly built documents; rows that failed to convert are left out."""
     built = moment(built_at)
+    # No time to live means for good.
+    expires = built + F.make_dt_interval(secs=F.lit(int(ttl))) if ttl else moment("9999-12-31 23:59:59")
     return documents.filter(F.col("markdown").isNotNull()).select(
         "post_id",
         "markdown",
         built.alias("built_at"),
-        (built + F.make_dt_interval(secs=F.lit(int(ttl)))).alias("expires_at"),
+        expires.alias("expires_at"),
     )

@@ -125,7 +125,9 @@ def listed_types(public: Iterable[str], hook: TypesHook | None = None) -> list[s
 
 
 def type_filter(posts: DataFrame, types: Iterable[str]) -> DataFrame:
-    return posts.filter(F.col("post_type").isin(list(types)))
+    """Posts of the given types. An empty list, left when no enabled type exists, filters nothing."""
+    types = list(types)
+    return posts.filter(F.col("post_type").isin(types)) if types else posts
 
 
 def listed_posts(

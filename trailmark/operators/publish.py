@@ -15,6 +15,7 @@ from trailmark.functions.text import (
     add_query_param,
     byte_length,
     clean_url,
+    filled,
     text,
     trim_words,
     xml_escape,
@@ -42,7 +43,8 @@ def document(sites: DataFrame, bodies: DataFrame, header: Column, footer: Column
 
 def index_lines(listed: DataFrame, words: int = 20) -> DataFrame:
     """One index line per listed post: title, link and summary."""
-    source = F.when(text(F.col("post_excerpt")) != "", F.col("post_excerpt")).otherwise(F.col("post_content"))
+    excerpt = filled(F.col("post_excerpt"))
+    source = F.when(excerpt != "", excerpt).otherwise(F.col("post_content"))
     line = F.concat(
         F.lit("- ["), text(F.col("post_title")),
         F.lit("]("), text(F.col("permalink")),

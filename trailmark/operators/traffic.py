@@ -205,7 +205,7 @@ def chart_json(chart: DataFrame) -> DataFrame:
 
 def export_rows(log: DataFrame, as_of: AsOf = None, days: int = 30) -> DataFrame:
     """Rows for export, newest first; the address hash is not exported."""
-    days = whitelisted(days, LOG_WINDOWS, 30)
+    days = whitelisted(abs(int(days)), LOG_WINDOWS, 30)
     recent = window_filter(log, as_of, days)
     return recent.orderBy(F.desc("created_at"), F.desc("id")).select(EXPORT_COLUMNS)
 

@@ -40,7 +40,7 @@ class HitProcessor(StatefulProcessor):
             position = max(position, int(np.searchsorted(at[:stop], until, side="right")))
             while position < stop:
                 hit[position] = 0
-                until = int(at[position]) + self.ttl
+                until = int(at[position]) + self.ttl if self.ttl else 2**62
                 position = int(np.searchsorted(at[:stop], until, side="right"))
             if stop < len(at):
                 until, position = -(2**62), stop + 1
