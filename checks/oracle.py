@@ -104,7 +104,7 @@ VIEWS["site_settings"] = r"""
 SELECT site, CASE length(site) % 3 WHEN 0 THEN '' WHEN 1 THEN '  ' || site || 'Bot ' || chr(10) || chr(10) || ' CCBot' || chr(10)
   ELSE ' ' || chr(10) || ' ' END AS bot_list,
   CASE length(site) % 2 WHEN 0 THEN 'page,attachment,news' ELSE '' END AS enabled_types,
-  (length(site) % 5) * 10 - 13 AS retention_days FROM sites"""
+  CAST((length(site) % 5) * 10 - 13 AS INTEGER) AS retention_days FROM sites"""
 VIEWS["saved_lines"] = """
 SELECT site, list_filter(list_transform(string_split(bot_list, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM site_settings"""
 BUILTIN = "[" + ", ".join(q(t) for t in BOT_TOKENS) + "]"

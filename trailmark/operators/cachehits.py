@@ -15,18 +15,13 @@ logarithmic in the number of cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.functions.clock import epoch_second
 from trailmark.session import shared_folder
 
 
-def epoch_second(column: Column) -> Column:
-    """Seconds since 1970 of a zone-free timestamp."""
-    days = F.unix_date(F.to_date(column)) * F.lit(86400).cast("long")
-    return days + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
-
-
 def _written(df: DataFrame) -> DataFrame:
     """Cut lineage through a table in the shared folder."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)

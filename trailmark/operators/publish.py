@@ -72,7 +72,7 @@ def bundle_sections(sites: DataFrame, rows: DataFrame) -> DataFrame:
         rows.filter(F.col("markdown").isNotNull())
         .join(headers, "site")
         .select("site", "id", "post_date", "header_bytes", section.alias("section"))
-        .withColumn("section_bytes", byte_length(F.col("section")))
+        .withColumn("section_bytes", byte_length(F.col("section")).cast("long"))
     )
 
 
@@ -82,7 +82,7 @@ def llms_full_cap(sections: DataFrame, max_bytes: int = BUNDLE_MAX_BYTES) -> Dat
     Sizes are never negative, so the running size only grows and the filter keeps a prefix.
     """
     in_order = Window.partitionBy("site").orderBy(*newest_first())
-    running = F.sum(F.col("section_bytes").cast("long")).over(
+    running = F.sum("section_bytes").over(
         in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     sized = sections.withColumn("running_bytes", running + F.col("header_bytes"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from trailmark.operators.cachehits import epoch_second
+from trailmark.functions.clock import epoch_second
+
+# Ship the processor with the query so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _OUT = "post_id long, id long, cache_hit int"
 

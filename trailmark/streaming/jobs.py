@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.config import Settings
-from trailmark.functions.clock import AsOf
+from trailmark.functions.clock import AsOf, epoch_second
 from trailmark.operators.markdown import stored
 from trailmark.operators.requests import classify
 from trailmark.operators.traffic import named_bot_rows
@@ -48,12 +48,12 @@ def daily_hits(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
     State holds one counter per bot and open day, and counts combine before the shuffle.
     """
-    stamped = named_bot_rows(log).withColumn("seen_at", F.col("created_at").cast("timestamp"))
-    day = F.window("seen_at", "1 day")
-    counts = stamped.withWatermark("seen_at", lateness).groupBy(day, "bot_name").agg(
-        F.count(F.lit(1)).alias("hits")
-    )
-    return counts.select(F.to_date("window.start").alias("dt"), "bot_name", "hits")
+    # Watermarks need an instant: the UTC one, so that days do not shift with the session zone.
+    instant = F.timestamp_seconds(epoch_second(F.col("created_at")))
+    stamped = named_bot_rows(log).withColumn("seen_at", instant).withWatermark("seen_at", lateness)
+    counts = stamped.groupBy(F.window("seen_at", "1 day"), "bot_name").agg(F.count(F.lit(1)).alias("hits"))
+    day = F.floor(F.unix_seconds("window.start") / 86_400).cast("int")
+    return counts.select(F.date_from_unix_date(day).alias("dt"), "bot_name", "hits")
 
 
 def stream_daily_hits(log: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour") -> StreamingQuery:
