@@ -42,8 +42,6 @@ SUMMARY_WORDS = 20
 SUMMARY_ELLIPSIS = "&hellip;"
 BUNDLE_MAX_BYTES = 500 * 1024
 SITEMAP_MAX_POSTS = 1000
-INDEX_TTL_SECONDS = 3600
-BUNDLE_TTL_SECONDS = 86400
 
 INDEX_PATH = "llms.txt"
 BUNDLE_PATH = "llms-full.txt"
