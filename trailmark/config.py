@@ -51,6 +51,9 @@ YOAST_NOINDEX_KEY = "_yoast_wpseo_meta-robots-noindex"
 RANK_MATH_ROBOTS_KEY = "rank_math_robots"
 GENESIS_NOINDEX_KEY = "_genesis_noindex"
 UNLISTED_TYPE = "attachment"
+
+# Block comments the editor leaves in content (Java pattern, ASCII blanks).
+EDITOR_COMMENT = r"<!--[ \t\n\r\f\x0b]*/?wp:[^-]*?-->"
 # ---------------------------------------------------------------------------
 
 # The advertised line is free text for crawlers' operators; name your own product in it.

@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.config import PREVIEW_CHARS, Settings
+from trailmark.config import EDITOR_COMMENT, PREVIEW_CHARS, Settings
 from trailmark.functions import html_fold
 from trailmark.functions.clock import AsOf, iso_datetime, moment
 from trailmark.functions.headers import article_block, article_struct, quote_header, yaml_header
@@ -64,7 +64,7 @@ def html_to_markdown(
     html = F.col(html_col)
     html = text(render(html) if render else html)
     # Editor block comments go before parsing, so text around them stays one run.
-    prepared = F.regexp_replace(html, r"<!--[ \t\n\r\f\x0b]*/?wp:[^-]*?-->", "")
+    prepared = F.regexp_replace(html, EDITOR_COMMENT, "")
     blank = trim(html) == ""
     if spread:
         df = df.repartition(spread)
