@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import packing, shards
+from trailmark.llm import decontaminate, langid, packing, shards
 from trailmark.llm.common import vocabulary
 
 
@@ -24,7 +24,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
+    "op8_language": op8_language,
+    "op10_decontamination": op10_decontamination,
     "op7_packing": op7_packing,
     "op9_sharding": op9_sharding,
 }
