@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontaminate, langid, packing, shards
+from trailmark.llm import decontaminate, hyperminhash, langid, packing, shards
 from trailmark.llm.common import vocabulary
 
 
@@ -34,7 +34,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(_docs(spark, sf_dir), width=2, percent=80)
+
+
 QUERIES = {
+    "op5_near_duplicates": op5_near_duplicates,
     "op8_language": op8_language,
     "op10_decontamination": op10_decontamination,
     "op7_packing": op7_packing,
