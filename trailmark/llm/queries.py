@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontaminate, hyperminhash, langid, packing, shards
+from trailmark.llm import decontaminate, hyperminhash, langid, packing, shards, surrogates
 from trailmark.llm.common import vocabulary
 
 
@@ -38,7 +38,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_docs(spark, sf_dir), width=2, percent=80)
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The key is an argument of the operator; a secret one belongs in a deployment's own configuration.
+    out = surrogates.pseudonymise(_docs(spark, sf_dir).select("doc_id", "text"), "sample key")
+    return out.select("doc_id", "text", "n_entities")
+
+
 QUERIES = {
+    "op3_surrogates": op3_surrogates,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_language": op8_language,
     "op10_decontamination": op10_decontamination,
