@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontaminate, hyperminhash, langid, packing, shards, surrogates
+from trailmark.llm import ctph, decontaminate, hyperminhash, langid, packing, shards, surrogates, token_counts
 from trailmark.llm.common import vocabulary
 
 
@@ -44,7 +44,17 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_entities")
 
 
+def op2_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(_docs(spark, sf_dir), **vocabulary(), rule="majority")
+
+
+def op4_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.edited_neighbours(_docs(spark, sf_dir)).drop("next_fingerprint")
+
+
 QUERIES = {
+    "op2_section_tokens": op2_section_tokens,
+    "op4_piecewise_hash": op4_piecewise_hash,
     "op3_surrogates": op3_surrogates,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_language": op8_language,
