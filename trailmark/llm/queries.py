@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import ctph, decontaminate, hyperminhash, langid, packing, shards, surrogates, token_counts
+from trailmark.llm import ctph, decontaminate, hyperminhash, langid, licences, packing, shards, surrogates, token_counts
 from trailmark.llm.common import vocabulary
 
 
@@ -52,7 +52,12 @@ def op4_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.edited_neighbours(_docs(spark, sf_dir)).drop("next_fingerprint")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_docs(spark, sf_dir), licences.public_licences(spark))
+
+
 QUERIES = {
+    "op6_licences": op6_licences,
     "op2_section_tokens": op2_section_tokens,
     "op4_piecewise_hash": op4_piecewise_hash,
     "op3_surrogates": op3_surrogates,
@@ -63,4 +68,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_licences": licences.oracle()}
