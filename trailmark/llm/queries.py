@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import ctph, decontaminate, hyperminhash, langid, licences, packing, shards, surrogates, token_counts
+from trailmark.llm import ctph, decontaminate, hyperminhash, langid, licences, packing, shards, suffixes, surrogates, token_counts
 from trailmark.llm.common import vocabulary
 
 
@@ -35,7 +35,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(_docs(spark, sf_dir), width=2, percent=80)
+    return hyperminhash.near_duplicates(_docs(spark, sf_dir), width=2, percent=80).drop("text_hash")
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,13 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_docs(spark, sf_dir), licences.public_licences(spark))
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(_docs(spark, sf_dir), length=400, keep="none")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op6_licences": op6_licences,
     "op2_section_tokens": op2_section_tokens,
     "op4_piecewise_hash": op4_piecewise_hash,
