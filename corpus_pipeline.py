@@ -3,26 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailmark.llm import packing
+from trailmark.llm import decontaminate, hyperminhash, langid, packing, surrogates
 from trailmark.llm.common import Staging, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Below this confidence (a guess among four languages has 0.25) the language is taken as unknown.
+LEAST_SCORE = 0.4
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: sequences with their tokens."""
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those whose language can't be told."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    judged = langid.predict(docs.select(*COLUMNS), model)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return hyperminhash.deduplicate(docs.select(*COLUMNS), width=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage, also an edited one."""
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and secrets; ``n_chars`` follows the new text."""
+    replaced = surrogates.pseudonymise(docs.select(*COLUMNS), "sample key")
+    return replaced.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences with their tokens."""
     return packing.pack(docs, **vocabulary())
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("language", language_stage),
+    ("near-dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("privacy", privacy_stage),
+    ("packing", packing_stage),
+]
 
+# Sketches, alignments and tokenizers are beyond SQL; tests/llm holds the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written under the shared folder and the one before it deleted."""
     staging = Staging(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = staging.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
+        if before:
+            staging.drop(before)
+        before = f"{i}-{name}"
     return docs

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmark.llm.common import Staging
 from trailmark.llm.words import U, grams, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -267,6 +268,10 @@ def _alike(cases: list[tuple], cells: int = 1 << 16) -> Iterator[list[tuple]]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents without a contaminated passage, all their columns. Null ids are kept: they name no document."""
+    """Documents without a contaminated passage, all their columns. Null ids are kept: they name no document.
+
+    The ids that go are written first, so that their size decides whether the documents have to be shuffled.
+    """
     bad = contamination(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
+    bad = Staging(docs.sparkSession).keep(bad, "contaminated")
     return docs.join(bad, id_col, "left_anti").select(docs.columns)
