@@ -30,10 +30,23 @@ def test_classify_stream(spark, tmp_path):
     assert heard == list(range(7))
 
 
+def test_two_checkpoints_fill_one_log_and_prune_leaves_no_expired_row(spark, tmp_path):
+    log = str(tmp_path / "log")
+    events = shuffled_events(spark, tmp_path)
+    for k in (0, 1):
+        half = events.filter(F.col("id") % 2 == k)
+        jobs.stream_classify(half, log, str(tmp_path / f"state{k}"), b.LOGGING, salt=b.SALT).awaitTermination()
+    batch = b.request_log(spark, SF)
+    assert tables.read_log(spark, log).count() == batch.count()
+    tables.prune_log(spark, log, b.AS_OF, 7)
+    left, kept = tables.read_log(spark, log).drop("dt"), traffic.retention_prune(batch, b.AS_OF, 7)
+    assert left.count() == kept.count() and left.exceptAll(kept).count() == 0
+
+
 def test_daily_hits_stream(spark, tmp_path):
     log = requests.classify(shuffled_events(spark, tmp_path), b.LOGGING, salt=b.SALT)
     out = str(tmp_path / "daily")
-    jobs.stream_daily_hits(log, out, str(tmp_path / "state"), "40 days").awaitTermination()
+    jobs.stream_daily_hits(log, out, str(tmp_path / "state")).awaitTermination()
     rollup = tables.read_daily_hits(spark, out)
     batch = traffic.daily_bot_hits(b.request_log(spark, SF), b.AS_OF, 365)
     assert rollup.count() == batch.count() and rollup.select(batch.columns).exceptAll(batch).count() == 0

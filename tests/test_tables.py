@@ -26,14 +26,14 @@ def test_log_round_trip_and_pruned_scan(spark, log_path):
     recent = traffic.window_filter(stored, b.AS_OF, 7).select("bot_name")
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dt" in plan and "dt#" in plan.split("PartitionFilters")[1]
-    assert "GreaterThanOrEqual(created_at,2024-01-24T00:00)" in plan
+    assert "GreaterThanOrEqual(created_at,2024-01-24T06:30:15)" in plan
     assert "ReadSchema: struct<bot_name:string,created_at:timestamp_ntz>" in plan
 
 
 def test_batch_replay_adds_nothing(spark, tmp_path):
     path, rows = str(tmp_path / "log"), b.request_log(spark, SF)
     for batch in (0, 1, 1, 0):
-        tables.write_log_batch(rows.filter(F.col("id") % 2 == batch), batch, path)
+        tables.write_log_batch(rows.filter(F.col("id") % 2 == batch), batch, path, "one")
     assert tables.read_log(spark, path).count() == rows.count()
 
 
@@ -100,8 +100,8 @@ def test_store_merge(spark, tmp_path):
 def test_stale_and_invalidated(spark):
     rows = entries(
         spark,
-        (1, "fresh", "2024-01-05 00:00:00", "2024-01-31 00:00:00"),
-        (2, "expired", "2024-01-05 00:00:00", "2024-01-30 23:59:59"),
+        (1, "fresh", "2024-01-05 00:00:00", b.AS_OF),
+        (2, "expired", "2024-01-05 00:00:00", "2024-01-31 06:30:14"),
         (3, "older than post", "2024-01-01 00:00:00", "2024-02-05 00:00:00"),
     )
     posts = spark.createDataFrame([(i, "2024-01-04 00:00:00") for i in (1, 2, 3, 4)], "id long, m string")

@@ -19,14 +19,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.clock import epoch_second
-from trailmark.session import shared_folder
+from trailmark.session import delete, shared_folder
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage through a table in the shared folder."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class _Steps:
+    """Tables in the shared folder that cut lineage; each goes once the next stands."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.paths = df.sparkSession, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_before_last(self) -> None:
+        while len(self.paths) > 1:
+            delete(self.spark, self.paths.pop(0))
 
 
 def _nearest(df: DataFrame, value: str, ahead: bool) -> DataFrame:
@@ -45,7 +55,7 @@ def _nearest(df: DataFrame, value: str, ahead: bool) -> DataFrame:
     )
 
 
-def _instants(requests: DataFrame, saves: DataFrame, life: int) -> DataFrame:
+def _instants(requests: DataFrame, saves: DataFrame, life: int, steps: _Steps) -> DataFrame:
     """Distinct request seconds ``t`` with their first request and the last save before them."""
     none = F.lit(None).cast("long")
     asked = requests.select("post_id", epoch_second(F.col("created_at")).alias("at"), "id", none.alias("save"))
@@ -58,7 +68,7 @@ def _instants(requests: DataFrame, saves: DataFrame, life: int) -> DataFrame:
         .withColumn("cell", F.floor(F.col("at") / life))
     )
     # Both passes below start from this reduction, not from the raw requests.
-    placed = _nearest(_written(seconds), "save", ahead=False).filter("id IS NOT NULL")
+    placed = _nearest(steps.written(seconds), "save", ahead=False).filter("id IS NOT NULL")
     return placed.select(
         "post_id", "cell", F.col("at").alias("t"), "id", F.coalesce("near", F.lit(-(2**62))).alias("segment")
     )
@@ -81,10 +91,15 @@ def _links(instants: DataFrame, life: int) -> DataFrame:
 
 
 def misses(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
-    """Ids of the requests that miss."""
+    """Ids of the requests that miss.
+
+    The result reads two tables in the shared folder, as after a checkpoint; all earlier ones are gone.
+    """
     # Without a time to live only saves end an entry, and the cells are merely days.
     life = int(ttl) + 1 if ttl else 86_400
-    instants = _written(_instants(requests, saves, life))
+    first_tables, later_tables = _Steps(requests), _Steps(requests)
+    instants = first_tables.written(_instants(requests, saves, life, first_tables))
+    first_tables.drop_before_last()
     first = instants.groupBy("post_id", "segment").agg(F.min("t").alias("t")).select("post_id", "t")
     first = first.withColumn("reached", F.lit(True))
     keys = ["post_id", "t"]
@@ -92,7 +107,7 @@ def misses(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
         return instants.join(first.select(keys), keys, "left_semi").select("id")
     links = _links(instants, life)
     steps = instants.select(keys).join(links, keys, "left").join(first, keys, "left")
-    steps = _written(steps.fillna(False, subset=["reached"]))
+    steps = later_tables.written(steps.fillna(False, subset=["reached"]))
     # Each round every reached miss reaches the one a step ahead, and steps become twice as long.
     while not steps.filter("reached AND next IS NOT NULL").isEmpty():
         after = steps.select("post_id", F.col("t").alias("next"), F.col("next").alias("then"))
@@ -101,12 +116,14 @@ def misses(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
             "post_id", F.col("next").alias("t"), F.lit(None).cast("long").alias("next"), "reached"
         )
         merged = longer.unionByName(onward).groupBy(keys)
-        steps = _written(merged.agg(F.max("next").alias("next"), F.bool_or("reached").alias("reached")))
+        steps = later_tables.written(merged.agg(F.max("next").alias("next"), F.bool_or("reached").alias("reached")))
+        later_tables.drop_before_last()
     return instants.join(steps.filter("reached").select(keys), keys, "left_semi").select("id")
 
 
 def cache_hit_labels(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
     """``requests`` with ``cache_hit`` 0 or 1; joined by request id, so no post is a hot key."""
-    missed = misses(requests, saves, ttl).withColumn("_missed", F.lit(True))
+    # An id on several rows marks each of them once.
+    missed = misses(requests, saves, ttl).distinct().withColumn("_missed", F.lit(True))
     hit = F.when(F.col("_missed"), 0).otherwise(1)
     return requests.join(missed, "id", "left").withColumn("cache_hit", hit).drop("_missed")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -38,12 +42,30 @@ def build_session(app: str = "trailmark", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path under ``spark.checkpoint.dir`` for tables that cut lineage.
 
-    Only a local session may go without that setting; it then gets a temporary folder.
+    Only a local session may go without that setting; it then gets a temporary folder, which goes
+    with the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        root = tempfile.mkdtemp(prefix="run-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/trailmark-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table's folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[str]:
+    """A path for a table that is needed only inside the block; it is deleted in any case."""
+    path = shared_folder(spark)
+    try:
+        yield path
+    finally:
+        delete(spark, path)

@@ -34,8 +34,10 @@ REQUEST_LOG = _schema(
     ("created_at", _TS),
 )
 LOG_COLUMNS = REQUEST_LOG.fieldNames()
-# On storage: one directory per day, and in it one per micro-batch (-1 for batch appends).
-STORED_LOG = _schema(*[(f.name, f.dataType) for f in REQUEST_LOG], ("dt", T.DateType()), ("batch", _LONG))
+# On storage: one directory per day, in it one per stream and micro-batch (load and -1 for batch appends).
+STORED_LOG = _schema(
+    *[(f.name, f.dataType) for f in REQUEST_LOG], ("dt", T.DateType()), ("stream", _STR), ("batch", _LONG)
+)
 
 EXPORT_COLUMNS = [
     "created_at", "post_id", "url", "user_agent", "bot_name", "bytes_served", "cache_hit",

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from trailmark.functions.clock import AsOf, day_bucket
 from trailmark.operators.traffic import export_rows, retention_cutoff
-from trailmark.session import shared_folder
+from trailmark.session import staged
 from trailmark.sources.schemas import (
     ACCESS_EVENTS,
     DAILY_HITS,
@@ -41,11 +41,12 @@ def replace_partitions(rows: DataFrame, schema: StructType, path: str, *columns:
     Rows usually derive from the table itself, so they are staged first. The rebalance hint lets
     AQE split large partitions and pack small ones instead of one file per task and partition.
     """
-    spark, staged = rows.sparkSession, shared_folder(rows.sparkSession)
-    rows.select(schema.fieldNames()).write.parquet(staged)
-    final = spark.read.schema(schema).parquet(staged).hint("rebalance", *columns)
-    writer = final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*columns).parquet(path)
+    spark = rows.sparkSession
+    with staged(spark) as aside:
+        rows.select(schema.fieldNames()).write.parquet(aside)
+        final = spark.read.schema(schema).parquet(aside).hint("rebalance", *columns)
+        writer = final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*columns).parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -53,26 +54,31 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED_LOG).parquet(path).select(*LOG_COLUMNS, "dt")
 
 
-def _dated(rows: DataFrame, batch_id: int) -> DataFrame:
+def _dated(rows: DataFrame, stream: str, batch_id: int) -> DataFrame:
     dated = rows.withColumn("dt", day_bucket(F.col("created_at")))
-    return dated.withColumn("batch", F.lit(batch_id).cast("long"))
+    return dated.withColumns({"stream": F.lit(stream), "batch": F.lit(batch_id).cast("long")})
 
 
-def append_log(rows: DataFrame, path: str, rebalance: bool = False) -> None:
+def append_log(rows: DataFrame, path: str, rebalance: bool = True) -> None:
     """Append log rows into day partitions.
 
-    Tasks keep their rows, so a busy day is written by many tasks and no row is shuffled. For
-    input in no time order, ``rebalance`` gathers days first to avoid many small files.
+    Days are gathered first, and a busy one is split again by the size target, so input in no time
+    order gives few files. For input in time order, ``rebalance=False`` saves the shuffle.
     """
-    dated = _dated(rows, -1)
+    dated = _dated(rows, "load", -1)
     dated = dated.hint("rebalance", "dt") if rebalance else dated
-    dated.write.mode("append").partitionBy("dt", "batch").parquet(path)
+    dated.write.mode("append").partitionBy("dt", "stream", "batch").parquet(path)
 
 
-def write_log_batch(rows: DataFrame, batch_id: int, path: str) -> None:
-    """Write one micro-batch; doing it again replaces the same files, so replays add nothing."""
-    writer = _dated(rows, batch_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("dt", "batch").parquet(path)
+def write_log_batch(rows: DataFrame, batch_id: int, path: str, stream: str) -> None:
+    """Write one micro-batch; doing it again replaces the same files, so replays add nothing.
+
+    ``stream`` names the query whose batches are counted, so that two streams, or one that begins
+    anew with another checkpoint, write beside each other.
+    """
+    dated = _dated(rows, stream, batch_id)
+    writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dt", "stream", "batch").parquet(path)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -84,21 +90,33 @@ def _file_system(spark: SparkSession, path: str):
 def prune_log(spark: SparkSession, path: str, as_of: AsOf = None, days: int = 30) -> None:
     """Delete rows older than the retention window.
 
-    Days before the cutoff go as whole directories. Only the day of the cutoff is rewritten,
-    by way of a staged copy, since a table cannot be overwritten while it is being read.
+    Days before the cutoff go as whole directories, and so do the batches of the cutoff's day of
+    which no row is kept. The other batches of that day are rewritten by way of a staged copy, since
+    a table cannot be overwritten while it is being read.
     """
     cutoff = retention_cutoff(as_of, days)
     last_day = str(spark.range(1).select(F.to_date(cutoff)).first()[0])
     stored = spark.read.schema(STORED_LOG).parquet(path)
     kept = stored.filter((F.col("dt") == last_day) & (F.col("created_at") >= cutoff))
-    emptied = kept.isEmpty()
-    if not emptied:
-        replace_partitions(kept, STORED_LOG, path, "dt", "batch")
+    # At most the batches of one day.
+    alive = {f"stream={row[0]}/batch={row[1]}" for row in kept.select("stream", "batch").distinct().collect()}
+    if alive:
+        replace_partitions(kept, STORED_LOG, path, "dt", "stream", "batch")
     hadoop, where, fs = _file_system(spark, path)
-    for entry in fs.listStatus(where):
-        day = entry.getPath().getName().removeprefix("dt=")
-        if entry.isDirectory() and day[:1].isdigit() and (day < last_day or (emptied and day == last_day)):
-            fs.delete(entry.getPath(), True)
+
+    def folders(path):
+        return [entry.getPath() for entry in fs.listStatus(path) if entry.isDirectory()]
+
+    for entry in folders(where):
+        day = entry.getName().removeprefix("dt=")
+        if not day[:1].isdigit() or day > last_day:
+            continue
+        if day < last_day or not alive:
+            fs.delete(entry, True)
+            continue
+        for batch in [b for stream in folders(entry) for b in folders(stream)]:
+            if f"{batch.getParent().getName()}/{batch.getName()}" not in alive:
+                fs.delete(batch, True)
 
 
 def purge_log(spark: SparkSession, path: str) -> None:
@@ -120,7 +138,9 @@ def write_text_documents(documents: DataFrame, path: str) -> None:
     """Write ``site, document`` rows as one text file per site."""
     # The text writer ends each row with a newline, which stands for the document's own last one.
     body = F.regexp_replace("document", r"\n\z", "")
-    documents.select("site", body.alias("value")).write.mode("overwrite").partitionBy("site").text(path)
+    writer = documents.select("site", body.alias("value")).write.mode("overwrite")
+    # Whatever the session says: the document of a site that is gone goes too.
+    writer.option("partitionOverwriteMode", "static").partitionBy("site").text(path)
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -141,20 +161,20 @@ def write_store(spark: SparkSession, rows: DataFrame, path: str, buckets: int =
     """
     prefix = f"of{buckets}_"
     bucket = F.concat(F.lit(prefix), F.pmod(F.xxhash64("post_id"), F.lit(buckets)).cast("string"))
-    aside = shared_folder(spark)
-    rows.select(*MARKDOWN_STORE.fieldNames(), bucket.alias("bucket")).write.parquet(aside)
-    merged = incoming = spark.read.schema(STORED_MARKDOWN).parquet(aside)
-    hadoop, where, fs = _file_system(spark, path)
-    if fs.exists(where):
-        names = [entry.getPath().getName() for entry in fs.listStatus(where)]
-        if any(n.startswith("bucket=") and not n.startswith(f"bucket={prefix}") for n in names):
-            raise ValueError(f"{path} was created with another number of buckets than {buckets}")
-        # At most ``buckets`` names, and with them the scan skips all other buckets.
-        touched = [row[0] for row in incoming.select("bucket").distinct().collect()]
-        old = spark.read.schema(STORED_MARKDOWN).parquet(path).filter(F.col("bucket").isin(touched))
-        kept = old.join(incoming.select("post_id"), "post_id", "left_anti")
-        merged = kept.select(incoming.columns).unionByName(incoming)
-    replace_partitions(merged, STORED_MARKDOWN, path, "bucket")
+    with staged(spark) as aside:
+        rows.select(*MARKDOWN_STORE.fieldNames(), bucket.alias("bucket")).write.parquet(aside)
+        merged = incoming = spark.read.schema(STORED_MARKDOWN).parquet(aside)
+        hadoop, where, fs = _file_system(spark, path)
+        if fs.exists(where):
+            names = [entry.getPath().getName() for entry in fs.listStatus(where)]
+            if any(n.startswith("bucket=") and not n.startswith(f"bucket={prefix}") for n in names):
+                raise ValueError(f"{path} was created with another number of buckets than {buckets}")
+            # At most ``buckets`` names, and with them the scan skips all other buckets.
+            touched = [row[0] for row in incoming.select("bucket").distinct().collect()]
+            old = spark.read.schema(STORED_MARKDOWN).parquet(path).filter(F.col("bucket").isin(touched))
+            kept = old.join(incoming.select("post_id"), "post_id", "left_anti")
+            merged = kept.select(incoming.columns).unionByName(incoming)
+        replace_partitions(merged, STORED_MARKDOWN, path, "bucket")
 
 
 def read_daily_hits(spark: SparkSession, path: str) -> DataFrame:

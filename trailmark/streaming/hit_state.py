@@ -30,17 +30,16 @@ class HitProcessor(StatefulProcessor):
         self.live_through = handle.getValueState("live_through", "until long")
 
     def handleInputRows(self, key, rows, timerValues):
-        parts = [(p["at"].to_numpy(), p["id"].fillna(-1).to_numpy(np.int64)) for p in rows]
-        at = np.concatenate([a for a, _ in parts])
-        ids = np.concatenate([i for _, i in parts])
-        # Saves carry no id and come first within their second.
-        order = np.lexsort((ids, at))
-        at, ids = at[order], ids[order]
+        parts = [(p["at"].to_numpy(), p["id"].fillna(0).to_numpy(np.int64), p["asked"].to_numpy(bool)) for p in rows]
+        at, ids, asked = (np.concatenate(x) for x in zip(*parts))
+        # Saves come first within their second.
+        order = np.lexsort((ids, asked, at))
+        at, ids, asked = at[order], ids[order], asked[order]
         kept = self.live_through.get()
         until = kept[0] if kept is not None else -(2**62)
         hit = np.ones(len(at), dtype=np.int32)
         position = 0
-        saves = np.flatnonzero(ids < 0)
+        saves = np.flatnonzero(~asked)
         for stop in [*saves, len(at)]:
             # Jump from miss to miss: everything up to the expiry second is a hit.
             position = max(position, int(np.searchsorted(at[:stop], until, side="right")))
@@ -51,7 +50,6 @@ class HitProcessor(StatefulProcessor):
             if stop < len(at):
                 until, position = -(2**62), stop + 1
         self.live_through.update((until,))
-        asked = ids >= 0
         yield pd.DataFrame({"post_id": key[0], "id": ids[asked], "cache_hit": hit[asked]})
 
     def close(self) -> None:
@@ -59,8 +57,9 @@ class HitProcessor(StatefulProcessor):
 
 
 def request_and_save_events(requests: DataFrame, saves: DataFrame) -> DataFrame:
-    asked = requests.select("post_id", epoch_second(F.col("created_at")).alias("at"), "id")
-    kept = saves.select("post_id", epoch_second(F.col("saved_at")).alias("at"), F.lit(None).cast("long").alias("id"))
+    at, none = epoch_second(F.col("created_at")).alias("at"), F.lit(None).cast("long").alias("id")
+    asked = requests.select("post_id", at, "id", F.lit(True).alias("asked"))
+    kept = saves.select("post_id", epoch_second(F.col("saved_at")).alias("at"), none, F.lit(False).alias("asked"))
     return asked.unionByName(kept)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.config import Settings
-from trailmark.functions.clock import AsOf, epoch_second
+from trailmark.functions.clock import AsOf, day_bucket, epoch_second
 from trailmark.operators.markdown import stored
 from trailmark.operators.requests import classify
 from trailmark.operators.traffic import named_bot_rows
@@ -27,13 +27,24 @@ def stream_classify(
     logged: Callable[[DataFrame, int], None] | None = None,
     **hooks,
 ) -> StreamingQuery:
-    """Append classified requests to the log; ``logged`` is called after each micro-batch."""
+    """Append classified requests to the log; ``logged`` is called after each micro-batch.
+
+    The log's partitions carry the query's id, which lives in the checkpoint: a replay replaces its
+    own batch, and another checkpoint never replaces this one's.
+    """
     rows = classify(events, settings, salt=salt, **hooks)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_log_batch(batch, batch_id, log_path)
-        if logged is not None:
-            logged(batch, batch_id)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        # A listener may read the rows as well; classification still runs once.
+        kept = batch.persist() if logged is not None else batch
+        try:
+            write_log_batch(kept, batch_id, log_path, stream)
+            if logged is not None:
+                logged(kept, batch_id)
+        finally:
+            if logged is not None:
+                kept.unpersist()
 
     return (
         rows.writeStream.foreachBatch(write)
@@ -43,11 +54,15 @@ def stream_classify(
     )
 
 
-def daily_hits(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Day counts per bot over a stream of log rows; rows later than the watermark are dropped.
+def daily_hits(log: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Day counts per bot over a stream of log rows.
 
-    State holds one counter per bot and open day, and counts combine before the shuffle.
+    State is one counter per bot and day, and counts combine before the shuffle, so nothing has to
+    be dropped to bound it. With ``lateness``, days that far behind are closed and their rows ignored.
     """
+    if lateness is None:
+        day = day_bucket(F.col("created_at")).alias("dt")
+        return named_bot_rows(log).groupBy(day, "bot_name").agg(F.count(F.lit(1)).alias("hits"))
     # Watermarks need an instant: the UTC one, so that days do not shift with the session zone.
     instant = F.timestamp_seconds(epoch_second(F.col("created_at")))
     stamped = named_bot_rows(log).withColumn("seen_at", instant).withWatermark("seen_at", lateness)
@@ -56,7 +71,7 @@ def daily_hits(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return counts.select(F.date_from_unix_date(day).alias("dt"), "bot_name", "hits")
 
 
-def stream_daily_hits(log: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour") -> StreamingQuery:
+def stream_daily_hits(log: DataFrame, path: str, checkpoint: str, lateness: str | None = None) -> StreamingQuery:
     """Keep a rollup table by day current: each changed count replaces the last one."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
