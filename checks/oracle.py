@@ -6,7 +6,7 @@ from trailmark.bindings import QUERIES as QUERY_STRINGS
 from trailmark.bindings import USER_AGENTS
 from trailmark.config import BOT_TOKENS, UNKNOWN_TOKENS
 
-NOW = "TIMESTAMP '2024-01-31 00:00:00'"
+NOW = "TIMESTAMP '2024-01-31 06:30:15'"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -225,7 +225,7 @@ VIEWS["docs"] = f"SELECT id, {QUOTE_HEADER} || markdown AS markdown FROM authore
 VIEWS["bundled"] = f"""
 SELECT l.site, l.id, l.post_date, octet_length(encode('# ' || l.site || ' — full content' || {NL} || {NL})) AS header_bytes,
   coalesce(s.markdown, d.markdown) || {NL} || {NL} || '---' || {NL} || {NL} AS section
-FROM listed l JOIN docs d ON d.id = l.id LEFT JOIN store s ON s.post_id = l.id AND s.expires_at >= {NOW}"""
+FROM listed l JOIN docs d ON d.id = l.id LEFT JOIN store s ON s.post_id = l.id AND s.expires_at >= {NOW} AND s.built_at >= l.post_modified"""
 VIEWS["sized"] = """
 SELECT *, octet_length(encode(section)) AS section_bytes, CAST(header_bytes + sum(octet_length(encode(section))) OVER (
   PARTITION BY site ORDER BY post_date DESC, id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_bytes FROM bundled"""
@@ -321,7 +321,18 @@ chain AS (SELECT post_id, after_save, min(t) AS t FROM inst GROUP BY ALL
 SELECT req.id, req.post_id, CASE WHEN m.id IS NULL THEN 1 ELSE 0 END AS cache_hit FROM req LEFT JOIN (
   SELECT inst.id FROM inst JOIN chain USING (post_id, after_save, t)) m ON m.id = req.id"""
 
-ENDED = f"TIMESTAMP '2024-01-31 00:00:00' + INTERVAL 1 DAY"
+SERVED_LABELS = LABELS.replace(
+    "AND post_id > 0)", "AND post_id > 0 AND post_id IN (SELECT id FROM servable WHERE post_type <> 'attachment'))"
+)
+SERVED_LOG = f"""{SERVED_LABELS.rsplit("SELECT req.id", 1)[0]}
+SELECT l.id, l.post_id, url, user_agent, bot_name, ip_hash,
+  CASE WHEN r.id IS NULL THEN 0 ELSE coalesce(octet_length(encode(d.markdown)), l.bytes_served) END AS bytes_served,
+  CASE WHEN r.id IS NULL THEN 0 WHEN m.id IS NULL THEN 1 ELSE 0 END AS cache_hit, l.created_at
+FROM log l LEFT JOIN req r ON r.id = l.id LEFT JOIN docs d ON d.id = l.post_id
+LEFT JOIN (SELECT inst.id FROM inst JOIN chain USING (post_id, after_save, t)) m ON m.id = l.id
+WHERE r.id IS NOT NULL OR bot_name = 'unknown'"""
+
+ENDED = f"{NOW} + INTERVAL 1 DAY"
 REFRESHED = f"""SELECT post_id, markdown, built_at, expires_at FROM store WHERE post_id NOT IN (SELECT id FROM stale)
 UNION ALL SELECT id, d.markdown, {NOW}, {ENDED} FROM docs d WHERE id IN (SELECT id FROM stale)"""
 
@@ -368,9 +379,10 @@ FROM (SELECT s.bot_name, total, string_agg(CAST(hits AS VARCHAR), ',' ORDER BY d
     "type_filter": "SELECT id, post_type FROM posts WHERE post_type = 'page'",
     "servable_requests": "SELECT id, post_id, created_at FROM seen WHERE (is_md OR bot IS NOT NULL) AND post_id > 0 AND post_id IN "
     "(SELECT id FROM servable WHERE post_type <> 'attachment')",
+    "served_request_log": SERVED_LOG,
     "endpoint_route": f"SELECT page_id, {ROUTES} AS route FROM pages",
     "export_projection": f"SELECT {SEVEN} FROM log",
-    "markdown_preview": "SELECT id AS post_id, CASE WHEN post_status = 'publish' THEN left(markdown, 500) ELSE '' END AS preview FROM posts JOIN md USING (id)",
+    "markdown_preview": "SELECT id AS post_id, CASE WHEN post_status = 'publish' THEN left(d.markdown, 500) ELSE '' END AS preview FROM posts JOIN docs d USING (id)",
     "top_posts_titled": titled(30, 50),
     "bot_first_match": f"""
 SELECT user_agent, arg_min(token, pos) AS token FROM (SELECT DISTINCT user_agent FROM ae WHERE user_agent <> '')

@@ -13,6 +13,7 @@ from trailmark.functions import clock, detect, headers, text
 from trailmark.operators import botlist, cachehits, markdown, publish, requests, store, traffic
 from trailmark.operators import posts as postops
 from trailmark.plans import corpus, report
+from trailmark.plans.request_log import request_log
 from trailmark.session import shared_folder
 from trailmark.sources import tables
 from trailmark.sources.schemas import EXPORT_COLUMNS
@@ -71,7 +72,8 @@ def scan_posts(s, d):
 
 @query
 def scan_post_by_id(s, d):
-    wanted = traffic.post_rows(b.request_log(s, d, 7)).select("post_id").distinct()
+    recent = traffic.window_filter(b.request_log(s, d), AS_OF, 7)
+    wanted = traffic.post_rows(recent).select("post_id").distinct()
     return postops.posts_by_id(b.posts(s, d), wanted).select("id", "post_title", "permalink")
 
 
@@ -105,7 +107,11 @@ def append_request_log(s, d):
 @query
 def retention_prune(s, d):
     path = shared_folder(s)
-    tables.append_log(b.request_log(s, d), path)
+    # One load and two micro-batches, which are in time order as a stream's are.
+    log, early = b.request_log(s, d), F.lit("2024-01-24 03:00:00").cast("timestamp_ntz")
+    tables.append_log(log.filter("id % 3 = 0"), path)
+    tables.write_log_batch(log.filter((F.col("id") % 3 > 0) & (F.col("created_at") < early)), 0, path, "s")
+    tables.write_log_batch(log.filter((F.col("id") % 3 > 0) & (F.col("created_at") >= early)), 1, path, "s")
     tables.prune_log(s, path, AS_OF, 7)
     return tables.read_log(s, path).drop("dt")
 
@@ -131,7 +137,7 @@ def purge_log(s, d):
 @query
 def export_csv(s, d):
     path = shared_folder(s)
-    tables.export_csv(b.request_log(s, d, 7), path, AS_OF, 7)
+    tables.export_csv(b.request_log(s, d), path, AS_OF, 7)
     schema = (
         "created_at timestamp_ntz, post_id long, url string, user_agent string, bot_name string, "
         "bytes_served long, cache_hit int"
@@ -149,7 +155,7 @@ def write_text_documents(s, d):
 
 @query
 def chart_json(s, d):
-    return traffic.chart_json(traffic.daily_bot_chart(b.request_log(s, d, 30), AS_OF, 30, 5))
+    return traffic.chart_json(traffic.daily_bot_chart(b.request_log(s, d), AS_OF, 30, 5))
 
 
 @query
@@ -171,7 +177,7 @@ def markdown_store_invalidate(s, d):
 # --- predicates ------------------------------------------------------------------------------
 @query
 def window_filter(s, d):
-    return traffic.window_filter(b.request_log(s, d, 7), AS_OF, 7).select("id", "created_at", "bot_name")
+    return traffic.window_filter(b.request_log(s, d), AS_OF, 7).select("id", "created_at", "bot_name")
 
 
 @query
@@ -250,6 +256,13 @@ def servable_requests(s, d):
     return rows.select("id", "post_id", "created_at")
 
 
+@query
+def served_request_log(s, d):
+    documents = corpus.markdown_documents(b.posts(s, d), b.authors(s, d))
+    settings = Settings(enable_logging=True, cache_ttl=TTL)
+    return request_log(b.access_events(s, d), servable(s, d), b.post_saves(s, d), documents, settings, salt=b.SALT)
+
+
 @query
 def endpoint_route(s, d):
     paths = F.array(*[F.lit(p) for p in ("/llms.txt", "/llms-full.txt?x=1", "/botfood-sitemap.xml/", "/en/llms.txt")])
@@ -265,14 +278,14 @@ def export_projection(s, d):
 
 @query
 def markdown_preview(s, d):
-    docs = html_to_markdown_frame(s, d).withColumnRenamed("id", "post_id")
+    docs = corpus.markdown_documents(b.posts(s, d), b.authors(s, d), keep=("post_status",))
     return markdown.markdown_preview(docs)
 
 
 # --- joins -----------------------------------------------------------------------------------
 @query
 def top_posts_titled(s, d):
-    return traffic.top_posts_titled(b.request_log(s, d, 30), b.posts(s, d), AS_OF, 30, 50)
+    return traffic.top_posts_titled(b.request_log(s, d), b.posts(s, d), AS_OF, 30, 50)
 
 
 @query
@@ -291,13 +304,13 @@ def unknown_not_bot(s, d):
 
 @query
 def series_fill(s, d):
-    daily = traffic.daily_bot_hits(b.request_log(s, d, 7), AS_OF, 7)
+    daily = traffic.daily_bot_hits(b.request_log(s, d), AS_OF, 7)
     return traffic.series_fill(traffic.bot_calendars(daily), AS_OF, 7)
 
 
 @query
 def top_bot_semi(s, d):
-    daily = traffic.daily_bot_hits(b.request_log(s, d, 30), AS_OF, 30)
+    daily = traffic.daily_bot_hits(b.request_log(s, d), AS_OF, 30)
     return traffic.top_bot_calendars(daily, 3).select("bot_name", F.explode("by_day").alias("dt", "hits"))
 
 
@@ -325,62 +338,62 @@ def markdown_stale(s, d):
 # --- aggregates ------------------------------------------------------------------------------
 @query
 def total_requests(s, d):
-    return traffic.total_requests(b.request_log(s, d, 30), AS_OF, 30)
+    return traffic.total_requests(b.request_log(s, d), AS_OF, 30)
 
 
 @query
 def request_totals(s, d):
-    return traffic.request_totals(b.request_log(s, d, 30), AS_OF)
+    return traffic.request_totals(b.request_log(s, d), AS_OF)
 
 
 @query
 def cache_hit_rate(s, d):
-    return traffic.cache_hit_rate(b.request_log(s, d, 7), AS_OF, 7)
+    return traffic.cache_hit_rate(b.request_log(s, d), AS_OF, 7)
 
 
 @query
 def top_bots(s, d):
-    return traffic.top_bots(b.request_log(s, d, 30), AS_OF, 30, 5)
+    return traffic.top_bots(b.request_log(s, d), AS_OF, 30, 5)
 
 
 @query
 def top_bots_collated(s, d):
-    return traffic.top_bots(b.request_log(s, d, 30), AS_OF, 30, 5, traffic.LOOSE_COLLATION)
+    return traffic.top_bots(b.request_log(s, d), AS_OF, 30, 5, traffic.LOOSE_COLLATION)
 
 
 @query
 def top_posts(s, d):
-    return traffic.top_posts(b.request_log(s, d, 30), AS_OF, 30, 5)
+    return traffic.top_posts(b.request_log(s, d), AS_OF, 30, 5)
 
 
 @query
 def top_posts_known(s, d):
-    return traffic.top_posts(b.request_log(s, d, 30), AS_OF, 30, 20, b.posts(s, d))
+    return traffic.top_posts(b.request_log(s, d), AS_OF, 30, 20, b.posts(s, d))
 
 
 @query
 def unknown_uas(s, d):
-    return traffic.unknown_uas(b.request_log(s, d, 30), AS_OF, 30, 50)
+    return traffic.unknown_uas(b.request_log(s, d), AS_OF, 30, 50)
 
 
 @query
 def daily_bot_hits(s, d):
-    return traffic.daily_bot_hits(b.request_log(s, d, 30), AS_OF, 30)
+    return traffic.daily_bot_hits(b.request_log(s, d), AS_OF, 30)
 
 
 @query
 def bot_totals(s, d):
-    return traffic.bot_totals(traffic.daily_bot_hits(b.request_log(s, d, 30), AS_OF, 30))
+    return traffic.bot_totals(traffic.daily_bot_hits(b.request_log(s, d), AS_OF, 30))
 
 
 @query
 def daily_bot_series(s, d):
-    return traffic.daily_bot_series(b.request_log(s, d, 30), AS_OF, 30, 5)
+    return traffic.daily_bot_series(b.request_log(s, d), AS_OF, 30, 5)
 
 
 @query
 def traffic_summary(s, d):
-    row = report.traffic_summary(b.request_log(s, d, 7), b.posts(s, d), AS_OF)
+    row = report.traffic_summary(b.request_log(s, d), b.posts(s, d), AS_OF)
     return row.select(
         "total", "hit_rate_label", F.to_json("top_bots").alias("top_bots"), F.to_json("top_posts").alias("top_posts")
     )
@@ -388,7 +401,7 @@ def traffic_summary(s, d):
 
 @query
 def analytics_report(s, d):
-    return report.report_rows(report.analytics_report(b.request_log(s, d, 30), b.posts(s, d), AS_OF))
+    return report.report_rows(report.analytics_report(b.request_log(s, d), b.posts(s, d), AS_OF))
 
 
 @query
@@ -417,10 +430,8 @@ def per_site_limit(s, d):
 
 @query
 def first_match_rank(s, d):
-    hits = b.access_events(s, d).select("id", F.explode(F.array(*map(F.lit, detect.BOT_TOKENS))).alias("token"), "user_agent")
-    hits = hits.filter(F.contains(text.ascii_fold(F.col("user_agent")), text.ascii_fold(F.col("token"))))
-    pos = F.array_position(F.array(*map(F.lit, detect.BOT_TOKENS)), F.col("token"))
-    return hits.groupBy("id").agg(F.min_by("token", pos).alias("token"))
+    token = detect.first_token(F.col("user_agent"), detect.BOT_TOKENS)
+    return b.access_events(s, d).select("id", token.alias("token")).filter(F.col("token").isNotNull())
 
 
 @query
@@ -431,22 +442,22 @@ def topk_hits(s, d):
 
 @query
 def topk_recent(s, d):
-    return traffic.unknown_uas(b.request_log(s, d, 365), AS_OF, 365, 2)
+    return traffic.unknown_uas(b.request_log(s, d), AS_OF, 365, 2)
 
 
 @query
 def sort_export(s, d):
-    return traffic.export_rows(b.request_log(s, d, 30), AS_OF, 30)
+    return traffic.export_rows(b.request_log(s, d), AS_OF, 30)
 
 
 @query
 def sort_days(s, d):
-    return traffic.sort_days(traffic.daily_bot_hits(b.request_log(s, d, 7), AS_OF, 7))
+    return traffic.sort_days(traffic.daily_bot_hits(b.request_log(s, d), AS_OF, 7))
 
 
 @query
 def topn_bots_series(s, d):
-    daily = traffic.daily_bot_hits(b.request_log(s, d, 30), AS_OF, 30)
+    daily = traffic.daily_bot_hits(b.request_log(s, d), AS_OF, 30)
     return traffic.top_bot_calendars(daily, 3).select("bot_name", "total")
 
 
@@ -708,17 +719,30 @@ def event_stream(s, d):
     return b.as_access_events(sample_stream(s, d, "events"))
 
 
+def scattered_event_stream(s, d, out):
+    """The events in four files and four triggers, each of which jumps back in time."""
+    events = b.table(s, d, "events")
+    part = F.pmod("event_id", F.lit(4)).alias("part")
+    events.select("*", part).repartition(4, "part").write.partitionBy("part").parquet(f"{out}/events")
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events")
+    return b.as_access_events(stream)
+
+
 @query
 def stream_classify(s, d):
     out = shared_folder(s)
-    jobs.stream_classify(event_stream(s, d), f"{out}/log", f"{out}/state", b.LOGGING, salt=b.SALT).awaitTermination()
+    # Two queries with checkpoints of their own fill one log.
+    events = scattered_event_stream(s, d, out)
+    for k in (0, 1):
+        half = events.filter(F.col("id") % 2 == k)
+        jobs.stream_classify(half, f"{out}/log", f"{out}/state{k}", b.LOGGING, salt=b.SALT).awaitTermination()
     return tables.read_log(s, f"{out}/log").drop("dt")
 
 
 @query
 def stream_daily_hits(s, d):
     out = shared_folder(s)
-    log = requests.classify(event_stream(s, d), b.LOGGING, salt=b.SALT)
+    log = requests.classify(scattered_event_stream(s, d, out), b.LOGGING, salt=b.SALT)
     jobs.stream_daily_hits(log, f"{out}/daily", f"{out}/state").awaitTermination()
     return tables.read_daily_hits(s, f"{out}/daily")
 

@@ -51,7 +51,7 @@ def test_site_limit_beyond_the_group_limit_threshold(spark, threshold):
 
 def test_small_site_limit_is_applied_before_the_shuffle(spark):
     plan = posts.per_site_limit(b.posts(spark, SF), 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") >= 2
 
 
 def test_noindex_marks(spark):
@@ -180,8 +180,8 @@ def test_substring_join_equals_containment(spark):
 def test_refresh_rebuilds_only_stale_posts(spark):
     store = b.markdown_store(spark, SF)
     refreshed = corpus.markdown_refresh(b.posts(spark, SF), store, b.authors(spark, SF), as_of=b.AS_OF)
-    again = corpus.markdown_refresh(b.posts(spark, SF), refreshed, b.authors(spark, SF), as_of="2024-01-31 01:00:00")
-    assert again.filter("built_at = timestamp_ntz'2024-01-31 01:00:00'").count() == 0
+    again = corpus.markdown_refresh(b.posts(spark, SF), refreshed, b.authors(spark, SF), as_of="2024-01-31 07:00:00")
+    assert again.filter("built_at = timestamp_ntz'2024-01-31 07:00:00'").count() == 0
     assert again.count() == b.posts(spark, SF).count()
 
 

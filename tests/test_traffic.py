@@ -103,7 +103,7 @@ def test_titled_top_scans_the_log_once(spark):
     from trailmark import bindings as b
 
     sf = "/root/testdata/sf0.001"
-    top = traffic.top_posts_titled(b.request_log(spark, sf, 30), b.posts(spark, sf), b.AS_OF)
+    top = traffic.top_posts_titled(b.request_log(spark, sf), b.posts(spark, sf), b.AS_OF)
     top.collect()
     final = top._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert final.count("ReusedExchange") == 1 and final.count("FileScan parquet [event_id") == 1

@@ -1,8 +1,7 @@
 """The engine's input tables derived from the sample tables (events, pages, supplier, ...).
 
 Each view is a narrow projection of a sample table, so jobs on it read as they would on a real
-log or corpus. ``since`` lets a windowed job push its bound down to the scan: the log's time is
-the event time cut to the second, and bounds are whole seconds.
+log or corpus.
 """
 
 from __future__ import annotations
@@ -16,11 +15,12 @@ from trailmark.config import (
     YOAST_NOINDEX_KEY,
     Settings,
 )
-from trailmark.functions.clock import days_ago, moment, to_second, window_days
+from trailmark.functions.clock import moment, to_second
 from trailmark.functions.text import url_host
 from trailmark.operators.requests import classify
 
-AS_OF = "2024-01-31 00:00:00"
+# Rows lie before and after the bounds of 1, 7 and 30 days before it.
+AS_OF = "2024-01-31 06:30:15"
 SALT = "fixture-salt"
 LOGGING = Settings(enable_logging=True)
 PUBLIC_TYPES = ("post", "page", "attachment")
@@ -67,15 +67,12 @@ def as_access_events(events: DataFrame) -> DataFrame:
     )
 
 
-def access_events(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    if days is not None:
-        events = events.filter(F.col("ts") >= days_ago(AS_OF, window_days(days)))
-    return as_access_events(events)
+def access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_access_events(table(spark, sf_dir, "events"))
 
 
-def request_log(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
-    return classify(access_events(spark, sf_dir, days), LOGGING, salt=SALT)
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(access_events(spark, sf_dir), LOGGING, salt=SALT)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +131,7 @@ def post_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nations, "k")
         .select("post_id", F.lit("category").alias("taxonomy"), F.col("n_name").alias("name"))
     )
-    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_brand")
+    brands = table(spark, sf_dir, "part").filter("p_partkey < 20").select(F.col("p_partkey").alias("k"), "p_brand")
     tags = (
         ids.select("post_id", F.expr("page_id % 20").alias("k"))
         .join(brands, "k")

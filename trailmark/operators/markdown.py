@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.config import EDITOR_COMMENT, PREVIEW_CHARS, Settings
@@ -113,13 +113,22 @@ def savings_report(documents: DataFrame, key: str = "site") -> DataFrame:
     An addition: the published size claims in measurable form. A token is taken as four bytes.
     """
     html, md = byte_length(F.col("post_content")), byte_length(F.col("markdown"))
-    # A sketch, exact while a key has fewer rows than its accuracy.
-    median = F.percentile_approx(F.try_divide(html, md), 0.5, 10_000)
-    sums = documents.groupBy(key).agg(
+    rated = documents.withColumn("_ratio", F.round(F.try_divide(html, md), 6))
+    # One row per key and distinct ratio: the median is exact for any number of posts.
+    counted = rated.groupBy(key, "_ratio").agg(
         F.count(F.lit(1)).alias("posts"),
+        F.count("_ratio").alias("_rated"),
         F.sum(html.cast("long")).alias("html_bytes"),
         F.sum(md.cast("long")).alias("markdown_bytes"),
-        F.round(median, 6).alias("median_ratio"),
+    )
+    upto = Window.partitionBy(key).orderBy(F.col("_ratio").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_upto", F.sum("_rated").over(upto))
+    placed = placed.withColumn("_all", F.sum("_rated").over(Window.partitionBy(key)))
+    sums = placed.groupBy(key).agg(
+        F.sum("posts").alias("posts"),
+        F.sum("html_bytes").alias("html_bytes"),
+        F.sum("markdown_bytes").alias("markdown_bytes"),
+        F.min(F.when(2 * F.col("_upto") >= F.col("_all"), F.col("_ratio"))).alias("median_ratio"),
     )
     return sums.select(
         "*",

@@ -40,17 +40,13 @@ def posts_by_id(posts: DataFrame, ids: DataFrame) -> DataFrame:
 def per_site_limit(posts: DataFrame, n: int, site: str = "site") -> DataFrame:
     """Newest ``n`` rows of every site.
 
-    Spark limits each map task to ``n`` rows a site before the shuffle, as long as ``n`` is
-    within its group-limit threshold. Beyond it the same is done here in two steps, first over
-    slices of a site, so that one huge site never sorts in a single task.
+    Ranked first over slices of a site and then over what is left of them, so that one huge site
+    never sorts in a single task, whatever ``n`` is.
     """
-    threshold = int(posts.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > threshold:
-        slice_of = F.pmod(F.xxhash64("id"), F.lit(256))
-        sliced = posts.withColumn("_slice", slice_of)
-        in_slice = Window.partitionBy(site, "_slice").orderBy(*newest_first())
-        posts = sliced.withColumn("_rn", F.row_number().over(in_slice)).filter(F.col("_rn") <= n)
-        posts = posts.drop("_slice", "_rn")
+    slice_of = F.pmod(F.xxhash64("id"), F.lit(256))
+    in_slice = Window.partitionBy(site, "_slice").orderBy(*newest_first())
+    sliced = posts.withColumn("_slice", slice_of).withColumn("_rn", F.row_number().over(in_slice))
+    posts = sliced.filter(F.col("_rn") <= n).drop("_slice", "_rn")
     in_site = Window.partitionBy(site).orderBy(*newest_first())
     return posts.withColumn("_rn", F.row_number().over(in_site)).filter(F.col("_rn") <= n).drop("_rn")
 
@@ -148,8 +144,8 @@ def listed_posts(
 
 
 def with_content(listed: DataFrame, posts: DataFrame) -> DataFrame:
-    """Add ``post_content`` to listed posts."""
-    return posts.select("id", "post_content").join(listed, "id").select(*listed.columns, "post_content")
+    """Add ``post_content`` to listed posts; Spark broadcasts the listed rows when they measure small."""
+    return listed.join(posts.select("id", "post_content"), "id").select(*listed.columns, "post_content")
 
 
 def collect_terms(post_terms: DataFrame) -> DataFrame:

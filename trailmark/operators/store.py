@@ -14,10 +14,16 @@ def live_rows(store: DataFrame, as_of: AsOf = None) -> DataFrame:
 
 
 def markdown_stale(posts: DataFrame, store: DataFrame, as_of: AsOf = None) -> DataFrame:
-    """Posts whose Markdown is missing, expired or older than the post."""
+    """Posts whose Markdown is missing, expired or older than the post.
+
+    Which ones is settled on ids and times; contents are then read for the stale ids, which Spark
+    broadcasts when they measure small, as they do between two refreshes.
+    """
     live = live_rows(store, as_of).select(F.col("post_id").alias("id"), "built_at")
-    fresh = (posts["id"] == live["id"]) & (live["built_at"] >= posts["post_modified"])
-    return posts.join(live, fresh, "left_anti")
+    heads = posts.select("id", "post_modified")
+    fresh = (heads["id"] == live["id"]) & (live["built_at"] >= heads["post_modified"])
+    stale = heads.join(live, fresh, "left_anti").select("id").distinct()
+    return posts.join(stale, "id", "left_semi")
 
 
 def markdown_store_upsert(store: DataFrame, new_rows: DataFrame) -> DataFrame:

@@ -216,12 +216,16 @@ def retention_cutoff(as_of: AsOf, days: int) -> Column:
 
 def retention_prune(log: DataFrame, as_of: AsOf = None, days: int = 30) -> DataFrame:
     """The rows that stay."""
-    return log.filter(F.col("created_at") >= retention_cutoff(as_of, days))
+    cutoff = retention_cutoff(as_of, days)
+    rows = log.filter(F.col("created_at") >= cutoff)
+    return rows.filter(F.col("dt") >= F.to_date(cutoff)) if "dt" in log.columns else rows
 
 
 def retention_expired(log: DataFrame, as_of: AsOf = None, days: int = 30) -> DataFrame:
     """How many rows would go, per day."""
-    gone = log.filter(F.col("created_at") < retention_cutoff(as_of, days))
+    cutoff = retention_cutoff(as_of, days)
+    gone = log.filter(F.col("created_at") < cutoff)
+    gone = gone.filter(F.col("dt") <= F.to_date(cutoff)) if "dt" in log.columns else gone
     return gone.groupBy(day_bucket(F.col("created_at")).alias("dt")).agg(
         F.count(F.lit(1)).alias("expired")
     )

@@ -58,18 +58,30 @@ def markdown_refresh(
 def bundle_rows(listed: DataFrame, store: DataFrame, authors: DataFrame, as_of: AsOf = None, **build) -> DataFrame:
     """``site, id, post_date, markdown`` of listed posts with content.
 
-    Live stored Markdown is used as it is. Only posts without it hand their HTML to the
-    conversion, so the listed posts run through one pipeline once.
+    Live stored Markdown no older than its post is used as it is; ``built`` marks the posts without it,
+    the only ones that hand their HTML to the conversion. Of the store, only listed posts' rows travel.
     """
-    live = live_rows(store, as_of).select(F.col("post_id").alias("id"), F.col("markdown").alias("stored"))
+    wanted = listed.select(F.col("id").alias("post_id"), "post_modified")
+    live = live_rows(store, as_of).join(wanted, "post_id").filter("built_at >= post_modified")
+    live = live.select(F.col("post_id").alias("id"), F.col("markdown").alias("stored"))
     rows = listed.join(live, "id", "left")
     needed = rows.withColumn("post_content", F.when(F.col("stored").isNull(), F.col("post_content")))
     built = markdown_documents(needed, authors, keep=("site", "post_date", "stored"), **build)
     return built.select(
-        "site", F.col("post_id").alias("id"), "post_date", F.coalesce("stored", "markdown").alias("markdown")
+        "site", F.col("post_id").alias("id"), "post_date", F.coalesce("stored", "markdown").alias("markdown"),
+        F.col("stored").isNull().alias("built"),
     )
 
 
+def built_for_store(rows: DataFrame, as_of: AsOf = None, settings: Settings = Settings()) -> DataFrame:
+    """Store rows of what ``bundle_rows`` had to convert; pass them to ``write_store`` after the bundles.
+
+    Write ``rows`` to a table first if both are used, so that conversion runs once.
+    """
+    fresh = rows.filter("built").select(F.col("id").alias("post_id"), "markdown")
+    return stored(fresh, as_of, settings.cache_ttl)
+
+
 def full_bundles(
     sites: DataFrame,
     listed: DataFrame,
