@@ -10,7 +10,7 @@ from trailmark.llm.common import Staging, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Below this confidence (a guess among four languages has 0.25) the language is taken as unknown.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
