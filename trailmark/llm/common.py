@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from trailmark.session import shared_folder
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Staging:
     """Parquet tables under ``spark.checkpoint.dir``, which every executor reaches.
 
@@ -28,7 +31,16 @@ class Staging:
         return f"{self.root}/{name}"
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
-        frame.write.mode("overwrite").parquet(self.path(name))
+        """Write and read back. The shuffle files behind it serve nothing more and go with the execution."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            frame.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.read(name, frame.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
@@ -42,6 +54,17 @@ class Staging:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``frame`` is called so."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,16 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import Staging, partitions
+from trailmark.llm.common import Staging, fresh, partitions
 from trailmark.llm.graph import components
 from trailmark.llm.words import U, grams, mix, words
 
 REGISTERS = 256  # chosen by the top 8 bits of a shingle's hash
 MANTISSA = 10  # bits kept behind the leading one
-BAND = 5  # registers a band; 51 bands
+BAND = 6  # registers a band; 42 bands
 BLOCK = 512
 # Expected share of equal registers of unrelated sets, from the paper's constant for HyperMinHash.
 COLLISIONS = 0.169919487159739 * 2.0 ** (1 - MANTISSA)
+KEYS = ["rep", "sized", "bi", "bj"]  # of a block pair
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -77,13 +79,13 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 sizes.append(len(values))
                 sketches.append(sketch(values).tobytes() if len(values) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
-                names=["id", "k1", "k2", "n", "sketch"],
+                [batch.column("id"), batch.column("text_hash"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
+                names=["id", "text_hash", "k1", "k2", "n", "sketch"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, n long, sketch binary")
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, k1 long, k2 long, n long, sketch binary")
 
 
 def identity(values: np.ndarray) -> tuple[int, int]:
@@ -141,74 +143,73 @@ def _binaries(column) -> list[memoryview | bytes]:
 
 def _estimated(batches, percent: int):
     """Of each block pair, the rows that may be similar to a row of another component, by their sketches."""
-    keys = ["rep", "bi", "bj"]
-    for batch in _batched(batches, keys):
-        out = []
-        for table in batch:
-            block, comp, n = (table.column(c).to_numpy() for c in ("block", "comp", "n"))
-            regs = np.frombuffer(b"".join(_binaries(table.column("sketch"))), np.uint16).reshape(-1, REGISTERS)
-            bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-            left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-            if not len(left) or not len(right):
+    out, waiting = [], 0
+    for table in _runs(batches, KEYS):
+        block, comp, n, home = (table.column(c).to_numpy() for c in ("block", "comp", "n", "home"))
+        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+        if not len(left) or not len(right):
+            continue
+        regs = np.frombuffer(b"".join(_binaries(table.column("sketch"))), np.uint16).reshape(-1, REGISTERS)
+        r, filled = regs[right], (regs[right] > 0).astype(np.float32)
+        possible = np.zeros(table.num_rows, bool)
+        for at in range(0, len(left), 16):
+            rows = left[at : at + 16]
+            a = regs[rows]
+            small, large = np.minimum(n[rows][:, None], n[right]), np.maximum(n[rows][:, None], n[right])
+            open_ = (comp[rows][:, None] != comp[right]) & (home[rows][:, None] | home[right]) & (100 * small >= percent * large)
+            if not open_.any():
                 continue
-            r, filled = regs[right], (regs[right] > 0).astype(np.float32)
-            possible = np.zeros(table.num_rows, bool)
-            for at in range(0, len(left), 16):
-                rows = left[at : at + 16]
-                a = regs[rows]
-                small, large = np.minimum(n[rows][:, None], n[right]), np.maximum(n[rows][:, None], n[right])
-                open_ = (comp[rows][:, None] != comp[right]) & (100 * small >= percent * large)
-                if not open_.any():
-                    continue
-                equal = ((a[:, None, :] == r) & (a[:, None, :] > 0)).sum(2)
-                mine = (a > 0).astype(np.float32)
-                union = mine.sum(1)[:, None] + filled.sum(1) - mine @ filled.T
-                open_ &= similarity_bound(equal, union) * 100 >= percent
-                possible[rows] |= open_.any(1)
-                possible[right] |= open_.any(0)
-            if possible.any():
-                out.append(table.filter(pa.array(possible)).drop_columns(["sketch"]))
-        if out:
+            equal = ((a[:, None, :] == r) & (a[:, None, :] > 0)).sum(2)
+            mine = (a > 0).astype(np.float32)
+            union = mine.sum(1)[:, None] + filled.sum(1) - mine @ filled.T
+            open_ &= similarity_bound(equal, union) * 100 >= percent
+            possible[rows] |= open_.any(1)
+            possible[right] |= open_.any(0)
+        if possible.any():
+            out.append(table.drop_columns(["sketch"]).filter(pa.array(possible)))
+            waiting += out[-1].num_rows
+        if waiting > 5000:
             yield from pa.concat_tables(out).combine_chunks().to_batches()
+            out, waiting = [], 0
+    if out:
+        yield from pa.concat_tables(out).combine_chunks().to_batches()
 
 
-def _batched(batches, keys, size: int = 256):
-    """Runs in lists, so that many small results leave as one batch."""
-    part = []
-    for table in _runs(batches, keys):
-        part.append(table)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
-
+def _confirmed(batches, percent: int, tokens: int = 1 << 20):
+    """Links between components of each block pair, by the full sets: one for each row and other component.
 
-def _confirmed(batches, percent: int):
-    """Links between components of each block pair, by the full sets: one for each row and other component."""
-    for batch in _batched(batches, ["rep", "bi", "bj"], 64):
+    The right side is looked at in parts of about ``tokens`` shingles, which bounds the work memory.
+    """
+    for table in _runs(batches, KEYS):
+        block, comp, n, home, cls = (table.column(c).to_numpy() for c in ("block", "comp", "n", "home", "cls"))
+        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+        values = [np.frombuffer(x.as_buffer(), U) for x in table.column("values").chunk(0)]
+        found: set[tuple[int, int]] = set()
         a, b = [], []
-        for table in batch:
-            block, comp, n, cls = (table.column(c).to_numpy() for c in ("block", "comp", "n", "cls"))
-            values = [np.frombuffer(x, U) for x in _binaries(table.column("values"))]
-            _, index = np.unique(np.concatenate(values), return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in values])])
-            mark = np.zeros(int(index.max()) + 1, bool)
-            bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-            right = block == bj
-            for i in np.flatnonzero(block == bi):
-                open_ = right & (comp != comp[i])
+        part = (np.cumsum(n[right]) - n[right]) // tokens
+        for chunk in np.unique(part):
+            those = right[part == chunk]
+            universe, index = np.unique(np.concatenate([values[j] for j in those]), return_inverse=True)
+            starts = np.cumsum(n[those]) - n[those]
+            mark = np.zeros(len(universe), bool)
+            for i in left:
+                open_ = (comp[those] != comp[i]) & (home[i] | home[those])
                 if not open_.any():
                     continue
-                mine = index[starts[i] : starts[i + 1]]
-                mark[mine] = True
-                common = np.add.reduceat(mark[index].astype(np.int64), starts[:-1])
-                mark[mine] = False
-                hit = np.flatnonzero(open_ & _similar(common, n[i], n, percent))
-                for j in hit[np.unique(comp[hit], return_index=True)[1]]:
-                    a.append(int(cls[i]))
-                    b.append(int(cls[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                at = np.minimum(np.searchsorted(universe, values[i]), len(universe) - 1)
+                at = at[universe[at] == values[i]]
+                mark[at] = True
+                common = np.add.reduceat(mark[index], starts, dtype=np.int64)
+                mark[at] = False
+                for j in those[open_ & _similar(common, n[i], n[those], percent)]:
+                    if (int(i), int(comp[j])) not in found:
+                        found.add((int(i), int(comp[j])))
+                        a.append(int(cls[i]))
+                        b.append(int(cls[j]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def near_duplicates(
@@ -226,18 +227,19 @@ def near_duplicates(
     documents are linked if 100 * common >= ``percent`` * union.
 
     1. Equal sets become one class, before anything is compared.
-    2. Each class has a HyperMinHash sketch: 256 registers of leading zeros and 10 mantissa bits. Bands of 5
-       registers bring classes together; at a similarity of 0.8 a pair shares none of 51 bands once in 10^9.
+    2. Each class has a HyperMinHash sketch: 256 registers of leading zeros and 10 mantissa bits. Bands of 6
+       registers bring classes together; a pair at a similarity of 0.8 shares none of 42 bands three times in
+       a million, one at 0.85 twice in 10^9.
     3. In each band's bucket all members are compared with the bucket's first class only, which is linear:
        first by the collision-corrected estimate, then by full sets. Components follow from these links.
-    4. Members that share a first class and are still in different components are compared with one another
-       in blocks of at most 512 classes, without rows for pairs: sketches rule out, full sets confirm. Blocks
-       inside the largest component of a group are left out, as nothing can change there.
+    4. Members that share a first class, are of like size and still in different components are compared with
+       one another in blocks of about 512 classes, without rows for pairs: sketches rule out, full sets
+       confirm. Blocks inside the largest component of a group are left out, as nothing can change there.
 
     No bucket is capped. Work in step 4 grows with a group's members outside its main component times its
     members. The estimate's margin is five standard deviations, so it costs a true link once in millions.
 
-    Columns: ``id_col``, ``n_shingles``, ``component_id``, ``kept`` (the id is the component's). Documents
+    Columns: ``id_col``, ``n_shingles``, ``component_id``, ``kept`` (the id is the component's), ``text_hash``. Documents
     without words have no shingles and stay alone. Repeated rows share a class and each give a row. A null id
     never names a component unless all ids of it are null; such rows are kept. Other columns are not read.
     """
@@ -265,9 +267,11 @@ def near_duplicates(
     staging.drop("bands")
 
     # Step 3: every member against its bucket's first class.
-    small = classes.select("cls", "n", "sketch")
-    pairs = members.join(small.toDF("rep", "rep_n", "rep_sketch"), "rep").join(small, "cls")
+    sizes = classes.select("cls", "n")
+    pairs = members.join(sizes.toDF("rep", "rep_n"), "rep").join(sizes, "cls")
     pairs = pairs.where(F.lit(100) * F.least("n", "rep_n") >= F.lit(percent) * F.greatest("n", "rep_n"))
+    sketches = classes.select("cls", "sketch")
+    pairs = pairs.join(sketches.toDF("rep", "rep_sketch"), "rep").join(sketches, "cls")
 
     def likely(batches):
         for batch in batches:
@@ -292,36 +296,44 @@ def near_duplicates(
     links = staging.keep(both.mapInArrow(linked, "rep long, cls long").toDF("a", "b"), "links")
     comps = staging.keep(components(links, staging, "star"), "comps")
 
-    # Step 4: members of one group in different components.
-    known = members.join(comps.toDF("cls", "component"), "cls", "left").select("rep", "cls", F.coalesce("component", "cls").alias("comp"))
-    sizes = known.groupBy("rep", "comp").agg(F.count(F.lit(1)).alias("members"))
-    groups = sizes.groupBy("rep").agg(
-        F.max(F.struct("members", "comp")).alias("major"), F.sum("members").alias("all"), F.count(F.lit(1)).alias("comps")
-    ).where("comps > 1")
+    # Step 4: members of one group in different components. Sizes a link allows lie in one class of sizes or in
+    # neighbouring ones; each member is at home in its class and a guest in the next.
+    step = math.log(100 / percent) * 1.0001
+    sized = F.floor(F.log("n") / step).cast("int")
+    known = (
+        members.join(sizes, "cls").join(comps.toDF("cls", "component"), "cls", "left")
+        .select("rep", "cls", "n", F.coalesce("component", "cls").alias("comp"), F.explode(F.array(sized, sized + 1)).alias("sized"))
+        .withColumn("home", F.col("sized") == sized)
+    )
+    counted = known.groupBy("rep", "sized", "comp").agg(F.count(F.lit(1)).alias("members"), F.count_if("home").alias("homes"))
+    groups = counted.groupBy("rep", "sized").agg(
+        F.max(F.struct("members", "comp")).alias("major"), F.sum("members").alias("all"), F.count(F.lit(1)).alias("comps"), F.sum("homes").alias("homes")
+    ).where("comps > 1 and homes > 0")
     groups = groups.select(
-        "rep", F.col("major.comp").alias("major"),
+        "rep", "sized", F.col("major.comp").alias("major"),
         F.ceil((F.col("all") - F.col("major.members")) / BLOCK).cast("int").alias("minors"),
         F.ceil(F.col("major.members") / BLOCK).cast("int").alias("majors"),
     )
-    placed = known.join(groups, "rep").withColumn("is_minor", F.col("comp") != F.col("major"))
+    placed = known.join(groups, ["rep", "sized"]).withColumn("is_minor", F.col("comp") != F.col("major"))
     spot = F.xxhash64("cls")
     placed = placed.withColumn("block", F.when(F.col("is_minor"), F.pmod(spot, "minors")).otherwise(F.col("minors") + F.pmod(spot, "majors")).cast("int"))
     # A minor block meets every block, a major block the minor ones.
     last = F.when(F.col("is_minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
-        "rep", F.least("block", "other").cast("int").alias("bi"), F.greatest("block", "other").cast("int").alias("bj"), "cls", "comp", "block"
-    )
-    shape = "rep long, bi int, bj int, cls long, comp long, block int, n long"
+        *("rep", "sized"), F.least("block", "other").cast("int").alias("bi"), F.greatest("block", "other").cast("int").alias("bj"),
+        *("cls", "comp", "block", "n", "home"),
+    )
+    shape = "rep long, sized int, bi int, bj int, cls long, comp long, block int, n long, home boolean"
     possible = (
-        placed.join(small, "cls").select("rep", "bi", "bj", "cls", "comp", "block", "n", "sketch")
-        .repartition(parts, "rep", "bi", "bj").sortWithinPartitions("rep", "bi", "bj")
+        placed.join(sketches, "cls").select(*KEYS, "cls", "comp", "block", "n", "home", "sketch")
+        .repartition(parts, *KEYS).sortWithinPartitions(*KEYS)
         .mapInArrow(lambda b: _estimated(b, percent), shape)
     )
     possible = staging.keep(possible, "possible")
     more = possible.select("cls").distinct().join(sets, "cls", "left_anti")
     more = staging.keep(_sets(docs, names.join(more, "cls"), id_col, text_col, width), "more-sets")
     confirmed = (
-        possible.join(sets.union(more), "cls").repartition(parts, "rep", "bi", "bj").sortWithinPartitions("rep", "bi", "bj")
+        possible.join(sets.union(more), "cls").repartition(parts, *KEYS).sortWithinPartitions(*KEYS)
         .mapInArrow(lambda b: _confirmed(b, percent), "a long, b long")
     )
     links = staging.keep(links.union(confirmed), "all-links")
@@ -331,22 +343,26 @@ def near_duplicates(
     whole = classes.select("cls", "first", "k1", "k2", "n").join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     named = whole.join(least, "component").select("k1", "k2", "n", "component_id")
-    out = signed.select("id", "k1", "k2", "n").join(named, ["k1", "k2", "n"], "left")
+    out = signed.select("id", "text_hash", "k1", "k2", "n").join(named, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("id").eqNullSafe(component).alias("kept"), "text_hash",
     )
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, all its columns: the one with the smallest id.
 
-    Where a kept id stands on several rows, one of them stays; only those rows are shuffled for it.
+    A document is its id and text; where one that stays is repeated, one of its rows does. Only the keys of
+    what goes (and of what is repeated) are written and joined, so few duplicates cost no shuffle of texts.
     """
-    found = near_duplicates(docs, id_col=id_col, **options).where("kept").groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(found, docs[id_col].eqNullSafe(found[id_col])).select(*(docs[c] for c in docs.columns), "_rows")
-    single = kept.where(F.col("_rows") == 1).drop("_rows")
-    repeated = kept.where((F.col("_rows") > 1) & F.col(id_col).isNotNull()).drop("_rows").dropDuplicates([id_col])
-    nameless = kept.where((F.col("_rows") > 1) & F.col(id_col).isNull()).drop("_rows").dropDuplicates()
-    return single.unionByName(repeated).unionByName(nameless)
+    staging = Staging(docs.sparkSession)
+    its, hashed, kept, rows = fresh(docs, "_id", "_hash", "_kept", "_rows")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    found = found.groupBy(F.col(id_col).alias(its), F.col("text_hash").alias(hashed), F.col("kept").alias(kept)).agg(F.count(F.lit(1)).alias(rows))
+    listed = staging.keep(found.where(~F.col(kept) | (F.col(rows) > 1)), "listed")
+    same = docs[id_col].eqNullSafe(F.col(its)) & F.xxhash64(docs[text_col]).eqNullSafe(F.col(hashed))
+    once = docs.join(listed, same, "left_anti")
+    again = docs.join(listed.where(kept), same, "left_semi").withColumn(hashed, F.xxhash64(text_col))
+    return once.unionByName(again.dropDuplicates([id_col, hashed]).drop(hashed))
