@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import Staging
+from trailmark.llm.common import Staging, fresh
 
 # Forms of address and common given names by gender, in Latin, Cyrillic and Greek script.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Госпожа", "Κυρία"]
@@ -237,21 +237,20 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col
     Texts without a match are passed on from the scan. The others, each with a number, are written once; their
     mentions meet the table of distinct entities in a join (a frequent entity is a skewed join that the engine
     splits), and only then come back together, one document at a time. Null and empty texts stay as they are,
-    repeated rows get equal results. Columns whose names start with ``_`` are the operator's own; a column named
-    ``count_col`` is replaced.
+    repeated rows get equal results. A column named ``count_col`` is replaced, all others stay.
     """
     staging = Staging(docs.sparkSession)
     kept = docs.drop(count_col)
-    text = F.col(text_col)
-    mentions = F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(ANY), 0))
-    scanned = kept.withColumn("_mentions", mentions)
-    clean = scanned.where("_mentions is null or size(_mentions) = 0").drop("_mentions").withColumn(count_col, F.lit(0).cast("long"))
-    found = scanned.where("size(_mentions) > 0").withColumn("_row", F.monotonically_increasing_id())
+    found_in, row, parts, new = fresh(kept, "_mentions", "_row", "_parts", "_new")
+    text, mentions = F.col(text_col), F.col(found_in)
+    scanned = kept.withColumn(found_in, F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(ANY), 0)))
+    clean = scanned.where(mentions.isNull() | (F.size(mentions) == 0)).withColumn(count_col, F.lit(0).cast("long"))
+    found = scanned.where(F.size(mentions) > 0).withColumn(row, F.monotonically_increasing_id())
     found = staging.keep(found, "found")
     pieces = (
-        found.select("_row", F.posexplode("_mentions").alias("_at", "mention"))
-        .select("_row", "_at", F.posexplode(_pieces(F.col("mention"))).alias("_part", "piece"))
-        .select("_row", "_at", "_part", "piece.kind", "piece.raw")
+        found.select(F.col(row).alias("row"), F.posexplode(found_in).alias("at", "mention"))
+        .select("row", "at", F.posexplode(_pieces(F.col("mention"))).alias("part", "piece"))
+        .select("row", "at", "part", "piece.kind", "piece.raw")
         .withColumn("canonical", F.when(F.col("kind").isNotNull(), _canonical(F.col("kind"), F.col("raw"))))
     )
     pieces = staging.keep(pieces, "pieces")
@@ -259,23 +258,21 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col
     table = assign(entities, key, staging).select("kind", "canonical", "surrogate")
     written = (
         pieces.join(table, ["kind", "canonical"], "left")
-        .select("_row", "_at", "_part", _render(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new"))
-        .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "_part", "new"))).alias("_new"))
+        .select("row", "at", "part", _render(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new"))
+        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new"))).alias(new))
+        .withColumnRenamed("row", row)
     )
-    between = F.split(text, ANY, -1)
     rebuilt = F.array_join(
         F.transform(
-            F.col("_parts"),
-            lambda part, i: F.concat(part, F.array_join(F.transform(F.filter("_new", lambda x: x["_at"] == i), lambda x: x["new"]), "")),
+            F.col(parts),
+            lambda part, i: F.concat(part, F.array_join(F.transform(F.filter(new, lambda x: x["at"] == i), lambda x: x["new"]), "")),
         ),
         "",
     )
     changed = (
-        found.join(written, "_row")
-        .withColumn("_parts", between)
-        .withColumn(count_col, F.size("_mentions").cast("long"))
+        found.join(written, row)
+        .withColumn(parts, F.split(text, ANY, -1))
+        .withColumn(count_col, F.size(mentions).cast("long"))
         .withColumn(text_col, rebuilt)
-        .select(*kept.columns, count_col)
     )
-    return clean.select(*kept.columns, count_col).unionByName(changed)
-
+    return clean.select(*kept.columns, count_col).unionByName(changed.select(*kept.columns, count_col))
