@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from trailmark.bindings import QUERIES as QUERY_STRINGS
-from trailmark.bindings import USER_AGENTS
-from trailmark.config import BOT_TOKENS, UNKNOWN_TOKENS
+# Fixed values, written out here so that a wrong one in the package shows.
+BOT_TOKENS = [
+    "GPTBot", "ChatGPT-User", "OAI-SearchBot", "ClaudeBot", "Claude-User", "anthropic-ai", "PerplexityBot",
+    "Perplexity-User", "CCBot", "Google-Extended", "Applebot-Extended", "Bytespider", "Meta-ExternalAgent", "cohere-ai",
+]
+UNKNOWN_TOKENS = ["bot", "crawler", "spider", "gpt", "claude", "anthropic", "fetch", "ai/"]
+USER_AGENTS = [
+    "Mozilla/5.0 (compatible; GPTBot/1.2)", "mozilla/5.0 claudebot/1.0", "PerplexityBot/1.0", "CCBot/2.0",
+    "Mozilla/5.0 Applebot-Extended", "Googlebot/2.1", "SomeCrawler/3.1", "Mozilla/5.0 (Windows NT 10.0) Chrome/124.0",
+    "", "curl/8.4.0", "ChatGPT-User GPTBot", "fetch-ai/0.1",
+]
+QUERY_STRINGS = ["?format=md", "?format=M.D", "?utm=x&format=html&format=md", "?format=html"]
 
 NOW = "TIMESTAMP '2024-01-31 06:30:15'"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -468,10 +468,8 @@ def latest_posts(s, d):
 
 @query
 def types_intersect(s, d):
-    supported = F.array(*[F.lit(t) for t in postops.listed_types(b.PUBLIC_TYPES)])
-    wanted = F.split("enabled_types", ",")
-    allowed = F.when(F.col("enabled_types") != "", F.array_intersect(supported, wanted)).otherwise(supported)
-    return b.site_settings(s, d).select("site", F.array_join(F.array_sort(allowed), ",").alias("types"))
+    allowed = postops.allowed_types_of(F.col("enabled_types"), b.PUBLIC_TYPES)
+    return b.site_settings(s, d).select("site", F.array_join(allowed, ",").alias("types"))
 
 
 @query
@@ -490,8 +488,7 @@ def bot_list_extend(s, d):
 
 @query
 def types_except(s, d):
-    types = b.posts(s, d).select("post_type").distinct()
-    return types.filter(F.col("post_type") != "attachment")
+    return postops.occurring_types(b.posts(s, d))
 
 
 # --- HTML to Markdown ------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import json
 import xml.etree.ElementTree as ET
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,8 @@ def test_settings_are_merged_and_checked():
     good = saved.validated()
     assert (good.detection_mode, good.cache_ttl, good.log_retention_days, good.query_param_name) == ("both", 86400, 30, "format")
     assert Settings.from_saved(None) == Settings()
+    typed = Settings(query_param_name="For Mat!", cache_ttl=-3600, log_retention_days=-90).validated()
+    assert (typed.query_param_name, typed.cache_ttl, typed.log_retention_days) == ("format", 3600, 90)
 
 
 def test_bundle_cap_is_a_prefix(spark):
@@ -200,3 +203,27 @@ def test_hooks_shape_documents(spark):
     assert docs.first().markdown == (
         "# T1\n\n> Source: https://s/1  \n> Author: Ann  \n> Date: 2024-01-01T00:00:00+00:00\n\nx\n\n**more**!"
     )
+
+
+def test_median_ratio_is_exact_beyond_any_sketch(spark):
+    from trailmark.operators.markdown import savings_report
+
+    rows = spark.range(30_001).selectExpr("'s' site", "repeat('x', cast(100 + id % 7001 as int)) post_content", "repeat('y', 100) markdown")
+    ratios = sorted(round((100 + i % 7001) / 100, 6) for i in range(30_001))
+    assert savings_report(rows).first().median_ratio == ratios[15_000]
+
+
+def test_stored_markdown_older_than_its_post_is_built_again(spark):
+    listed = posts.with_content(
+        posts.listed_posts(b.posts(spark, SF), posts.listed_types(b.PUBLIC_TYPES), 5), b.posts(spark, SF)
+    )
+    one = listed.orderBy("id").first()
+    store = spark.createDataFrame(
+        [(one.id, "stored", one.post_modified - timedelta(seconds=1))], "post_id long, markdown string, at timestamp_ntz"
+    ).select("post_id", "markdown", F.col("at").alias("built_at"), F.lit("2030-01-01 00:00:00").cast("timestamp_ntz").alias("expires_at"))
+    rows = corpus.bundle_rows(listed, store, b.authors(spark, SF), b.AS_OF)
+    assert all(r.built and r.markdown != "stored" for r in rows.collect())
+    fresh = store.withColumn("built_at", F.col("built_at") + F.expr("interval 1 second"))
+    rows = corpus.bundle_rows(listed, fresh, b.authors(spark, SF), b.AS_OF)
+    assert {r.id for r in rows.collect() if not r.built} == {one.id}
+    assert corpus.built_for_store(rows, b.AS_OF).count() == listed.count() - 1

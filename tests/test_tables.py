@@ -1,6 +1,7 @@
 """Sources and sinks on written tables."""
 
 import csv
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,16 @@ def test_access_events_as_stream(spark, tmp_path):
     writer = stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
     writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(raw).count() == 0
+
+
+def test_removed_sites_and_staged_tables_leave_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([("a.org", "# A"), ("b.org", "# B")], "site string, document string")
+    for rows in (docs, docs.filter("site = 'a.org'")):
+        tables.write_text_documents(rows, str(tmp_path / "docs"))
+    assert [r.site for r in tables.read_text_documents(spark, str(tmp_path / "docs")).collect()] == ["a.org"]
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    tables.write_store(spark, b.markdown_store(spark, SF), str(tmp_path / "store"), 4)
+    tables.append_log(b.request_log(spark, SF), str(tmp_path / "log"))
+    tables.prune_log(spark, str(tmp_path / "log"), b.AS_OF, 7)
+    assert set(shared.iterdir()) == before

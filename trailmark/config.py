@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields, replace
 from typing import Any
@@ -103,11 +104,12 @@ class Settings:
     def validated(self, public_types: Iterable[str] = ("post", "page")) -> Settings:
         """The settings as the settings form would store them."""
         kept = set(supported_types(public_types))
+        name = re.sub("[^a-z0-9_-]", "", self.query_param_name.lower())
         return replace(
             self,
             detection_mode=whitelisted(self.detection_mode, DETECTION_MODES, "both"),
-            query_param_name=self.query_param_name or "format",
-            cache_ttl=whitelisted(self.cache_ttl, CACHE_TTLS, 86400),
+            query_param_name=name or "format",
+            cache_ttl=whitelisted(abs(self.cache_ttl), CACHE_TTLS, 86400),
             enabled_post_types=tuple(t for t in self.enabled_post_types if t in kept),
-            log_retention_days=whitelisted(self.log_retention_days, LOG_WINDOWS, 30),
+            log_retention_days=whitelisted(abs(self.log_retention_days), LOG_WINDOWS, 30),
         )

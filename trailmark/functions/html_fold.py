@@ -13,38 +13,49 @@ from html.entities import name2codepoint
 BLANKS = " \t\n\r\0\x0b"
 
 # --- Fixed values: how HTML 4 parsers recover from missing end tags --------------------------
-_HEADINGS = "h1 h2 h3 h4 h5 h6"
-# new element -> open elements it ends, tested against the innermost one, repeatedly
+# new element -> open elements it ends, tested against the innermost one, repeatedly; after the
+# start-close table of the public libxml2 HTML parser, from its documentation and memory
 CLOSED_BY = {
-    new: frozenset(" ".join(olds.split()).split())
-    for names, olds in {
-        "p": f"p {_HEADINGS} b i u s tt big small strike",
-        "div dir blockquote listing xmp hr caption": "p",
-        "address pre": "p ul",
-        "menu": "p ul",
-        "ol": "p ul",
-        "ul": "p ol menu dir address pre listing",
-        "li": f"p {_HEADINGS} dl address pre listing xmp li",
-        "dl": "p dt menu dir address pre listing xmp",
-        "dt": "p menu dir address pre listing xmp dd",
-        "dd": "p menu dir address pre listing xmp dt",
-        "center": "p font b i",
-        "a": "a",
-        "form": f"form p hr {_HEADINGS} dl ul ol menu dir address pre listing",
-        "fieldset": f"legend p {_HEADINGS} pre listing xmp a",
-        "table": f"p {_HEADINGS} pre listing xmp a",
-        "th td": "th td p span font a b u",
-        "tr": "th td tr caption col colgroup p",
-        "col": "caption col p",
-        "colgroup": "caption col colgroup p",
-        "thead": "caption col colgroup",
-        "tbody tfoot": "th td tr caption col colgroup thead tbody tfoot p",
-        "option optgroup": "option",
-        _HEADINGS: "p",
-        "title": "p",
-    }.items()
-    for new in names.split()
-}
+    "p": {"p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "u", "s", "tt", "big", "small", "strike"},
+    "div": {"p"},
+    "dir": {"p"},
+    "blockquote": {"p"},
+    "listing": {"p"},
+    "xmp": {"p"},
+    "hr": {"p"},
+    "caption": {"p"},
+    "address": {"p", "ul"},
+    "pre": {"p", "ul"},
+    "menu": {"p", "ul"},
+    "ol": {"p", "ul"},
+    "ul": {"p", "ol", "menu", "dir", "address", "pre", "listing"},
+    "li": {"p", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "address", "pre", "listing", "xmp", "li"},
+    "dl": {"p", "dt", "menu", "dir", "address", "pre", "listing", "xmp"},
+    "dt": {"p", "menu", "dir", "address", "pre", "listing", "xmp", "dd"},
+    "dd": {"p", "menu", "dir", "address", "pre", "listing", "xmp", "dt"},
+    "center": {"p", "font", "b", "i"},
+    "a": {"a"},
+    "form": {"form", "p", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "ul", "ol", "menu", "dir", "address", "pre", "listing"},
+    "fieldset": {"legend", "p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "listing", "xmp", "a"},
+    "table": {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "listing", "xmp", "a"},
+    "th": {"th", "td", "p", "span", "font", "a", "b", "u"},
+    "td": {"th", "td", "p", "span", "font", "a", "b", "u"},
+    "tr": {"th", "td", "tr", "caption", "col", "colgroup", "p"},
+    "col": {"caption", "col", "p"},
+    "colgroup": {"caption", "col", "colgroup", "p"},
+    "thead": {"caption", "col", "colgroup"},
+    "tbody": {"th", "td", "tr", "caption", "col", "colgroup", "thead", "tbody", "tfoot", "p"},
+    "tfoot": {"th", "td", "tr", "caption", "col", "colgroup", "thead", "tbody", "tfoot", "p"},
+    "option": {"option"},
+    "optgroup": {"option"},
+    "h1": {"p"},
+    "h2": {"p"},
+    "h3": {"p"},
+    "h4": {"p"},
+    "h5": {"p"},
+    "h6": {"p"},
+    "title": {"p"},
+}
 # an end tag is ignored when it would have to close an element of higher rank than its own
 END_RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190}
 DEFAULT_RANK = 100

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trailmark.config import (
     GENESIS_NOINDEX_KEY,
     RANK_MATH_ROBOTS_KEY,
+    UNLISTED_TYPE,
     YOAST_NOINDEX_KEY,
     enabled_types,
     supported_types,
@@ -114,6 +115,18 @@ def allowed_types(
     return hook(types) if hook else types
 
 
+def allowed_types_of(enabled: Column, public: Iterable[str]) -> Column:
+    """``allowed_types`` where the enabled ones are a comma list per row, in name order."""
+    supported = F.array(*map(F.lit, supported_types(public)))
+    chosen = F.array_intersect(supported, F.split(enabled, ","))
+    return F.array_sort(F.when(text(enabled) != "", chosen).otherwise(supported))
+
+
+def occurring_types(posts: DataFrame) -> DataFrame:
+    """The distinct types of ``posts`` that can be published."""
+    return posts.select("post_type").distinct().filter(F.col("post_type") != UNLISTED_TYPE)
+
+
 def listed_types(public: Iterable[str], hook: TypesHook | None = None) -> list[str]:
     """Types in the index documents: the enabled list plays no part here."""
     types = supported_types(public)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -39,6 +40,13 @@ def build_session(app: str = "trailmark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    root = tempfile.mkdtemp(prefix="run-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path under ``spark.checkpoint.dir`` for tables that cut lineage.
 
@@ -49,9 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="run-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/trailmark-{uuid.uuid4().hex}"
 
 
