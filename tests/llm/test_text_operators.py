@@ -161,6 +161,7 @@ def test_language_of_awkward_rows(spark):
     for r in rows:
         letters = re.search(r"[^\W\d_]", r["text"] or "")
         assert (r["lang_pred"] == "und") == (not letters) and (r["score"] == 0) == (not letters)
+    assert langid.judge("½ ² 12", model) == ("und", 0.0)
     nothing = langid.fit(docs.limit(0))
     assert {r["lang_pred"] for r in shown(langid.predict(docs, nothing))} == {"und"}
 

@@ -136,7 +136,8 @@ def judge(text: str | None, model: LanguageModel) -> tuple[str, float]:
     average word: long texts don't all read 1.0 by their length alone.
     """
     counts = Counter(WORD.findall(text.lower())) if text else {}
-    if not counts or not model.languages:
+    # A word may be of signs such as a superscript digit; the search for a letter ends at the first.
+    if not model.languages or not any(c.isalpha() for word in counts for c in word):
         return UNKNOWN, 0.0
     rows, weights = [], []
     get = model.words.get
