@@ -396,6 +396,10 @@ FROM (SELECT s.bot_name, total, string_agg(CAST(hits AS VARCHAR), ',' ORDER BY d
     "bot_first_match": f"""
 SELECT user_agent, arg_min(token, pos) AS token FROM (SELECT DISTINCT user_agent FROM ae WHERE user_agent <> '')
 JOIN (SELECT token, min(pos) AS pos FROM tokens GROUP BY token) ON contains({fold("user_agent")}, {fold("token")}) GROUP BY user_agent""",
+    "bot_first_match_by_site": f"""
+SELECT a.site, user_agent, arg_min(token, pos) AS token
+FROM (SELECT site, unnest([{", ".join(q(u) for u in USER_AGENTS)}]) AS user_agent FROM sites) a
+JOIN tokens t ON t.site = a.site AND contains({fold("user_agent")}, {fold("token")}) WHERE user_agent <> '' GROUP BY a.site, user_agent""",
     "unknown_not_bot": "SELECT id, user_agent FROM seen WHERE heur IS NOT NULL AND bot IS NULL",
     "series_fill": series(7, None),
     "top_bot_semi": f"SELECT bot_name, dt, hits FROM ({daily(30)}) WHERE bot_name IN (SELECT bot_name FROM ({ranked(30, 3)}))",
@@ -410,6 +414,9 @@ SELECT count(*) FILTER (created_at >= {NOW} - INTERVAL 1 DAY) AS requests_1d,
   count(*) FILTER (created_at >= {NOW} - INTERVAL 30 DAY) AS requests_30d FROM log""",
     "cache_hit_rate": f"SELECT {RATE} AS hit_rate {recent(7)}",
     "top_bots": top("bot_name", 30, 5, "bot_name <> ''"),
+    "top_bots_by_site": f"""
+SELECT site, bot_name, hits, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY hits DESC, bot_name) AS rn FROM (
+  SELECT 'site' || (id % 3) AS site, bot_name, count(*) AS hits, max(created_at) AS last_seen {recent(30, "bot_name <> ''")} GROUP BY 1, 2)) WHERE rn <= 2""",
     "top_bots_collated": top("bot_name", 30, 5, "bot_name <> ''"),
     "top_posts": top("post_id", 30, 5, "post_id > 0"),
     "top_posts_known": top("post_id", 30, 20, "post_id > 0 AND post_id IN (SELECT id FROM posts)"),

@@ -295,6 +295,14 @@ def bot_first_match(s, d):
     return botlist.bot_first_match(b.access_events(s, d), bots)
 
 
+@query
+def bot_first_match_by_site(s, d):
+    """Each site's own list against every sample agent."""
+    bots = botlist.effective_tokens(b.site_settings(s, d).select("site", "bot_list"))
+    agents = b.sites(s, d).select("site", F.explode(F.array(*map(F.lit, b.USER_AGENTS))).alias("user_agent"))
+    return botlist.bot_first_match(agents, bots, ("site",))
+
+
 @query
 def unknown_not_bot(s, d):
     ua = F.col("user_agent")
@@ -356,6 +364,14 @@ def top_bots(s, d):
     return traffic.top_bots(b.request_log(s, d), AS_OF, 30, 5)
 
 
+@query
+def top_bots_by_site(s, d):
+    """A log of three sites."""
+    site = F.concat(F.lit("site"), F.pmod("id", F.lit(3)).cast("string"))
+    log = requests.classify(b.access_events(s, d).withColumn("site", site), b.LOGGING, salt=b.SALT, keep=("site",))
+    return traffic.top_bots_by(log, "site", AS_OF, 30, 2)
+
+
 @query
 def top_bots_collated(s, d):
     return traffic.top_bots(b.request_log(s, d), AS_OF, 30, 5, traffic.LOOSE_COLLATION)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ def effective_tokens(saved: DataFrame, list_col: str = "bot_list") -> DataFrame:
     return saved.select(*keys, F.posexplode(chosen).alias("pos", "token"))
 
 
-def bot_first_match(agents: DataFrame, bots: DataFrame) -> DataFrame:
-    """First token of ``bots(pos, token)`` found in each distinct ``user_agent``.
+def bot_first_match(agents: DataFrame, bots: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """First token of ``bots(keys..., pos, token)`` found in each distinct ``keys..., user_agent``.
+
+    With ``keys``, such as the site, every list meets its own agents only.
 
     Instead of comparing every agent with every token, each agent is cut into its substrings of
     the lengths that occur among the tokens, and those meet the tokens in an equality join. The
@@ -27,9 +31,9 @@ def bot_first_match(agents: DataFrame, bots: DataFrame) -> DataFrame:
     match are absent. Only the distinct token lengths come to the driver, a handful of numbers.
     """
     folded = ascii_fold(F.col("token"))
-    tokens = bots.select("pos", "token", folded.alias("f"), F.length("token").alias("len"))
+    tokens = bots.select(*keys, "pos", "token", folded.alias("f"), F.length("token").alias("len"))
     lengths = [row[0] for row in tokens.filter("len > 0").select("len").distinct().collect()]
-    distinct = agents.select("user_agent").filter(F.col("user_agent") != "").distinct()
+    distinct = agents.select(*keys, "user_agent").filter(F.col("user_agent") != "").distinct()
     ua = distinct.withColumn("ua", ascii_fold(F.col("user_agent")))
     none = F.array().cast("array<string>")
 
@@ -39,9 +43,9 @@ def bot_first_match(agents: DataFrame, bots: DataFrame) -> DataFrame:
         return F.when(F.length("ua") >= n, pieces).otherwise(none)
 
     cuts = F.flatten(F.array(none, *[cut(n) for n in lengths]))
-    pieces = ua.select("user_agent", F.explode(F.array_distinct(cuts)).alias("f"))
-    hits = pieces.join(tokens.select("f", "pos", "token"), "f").select("user_agent", "pos", "token")
-    return hits.groupBy("user_agent").agg(F.min_by("token", "pos").alias("token"))
+    pieces = ua.select(*keys, "user_agent", F.explode(F.array_distinct(cuts)).alias("f"))
+    hits = pieces.join(tokens.select(*keys, "f", "pos", "token"), [*keys, "f"])
+    return hits.groupBy(*keys, "user_agent").agg(F.min_by("token", "pos").alias("token"))
 
 
 def bot_list_add(

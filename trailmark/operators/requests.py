@@ -104,8 +104,8 @@ def request_url(uri: Column, site_root: str = "") -> Column:
     return clean_url(F.concat(F.lit(site_root.rstrip("/")), text(uri)))
 
 
-def log_normalise(context: DataFrame, salt: str) -> DataFrame:
-    """Clamp, truncate and hash request contexts into the log schema."""
+def log_normalise(context: DataFrame, salt: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Clamp, truncate and hash request contexts into the log schema, followed by the ``keep`` columns."""
     zero = F.lit(0).cast("long")
     return context.select(
         F.col("id").cast("long").alias("id"),
@@ -117,6 +117,7 @@ def log_normalise(context: DataFrame, salt: str) -> DataFrame:
         F.greatest(zero, F.col("bytes_served")).alias("bytes_served"),
         F.coalesce((F.col("cache_hit") != 0).cast("int"), F.lit(0)).alias("cache_hit"),
         to_second(F.col("created_at")).alias("created_at"),
+        *keep,
     )
 
 
@@ -130,9 +131,12 @@ def classify(
     unknown_tokens: Sequence[str] = UNKNOWN_TOKENS,
     serve_override: ColumnHook | None = None,
     allow: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Log rows of raw requests: served ones and, if wanted, bot-like unknown ones.
 
+    ``keep`` names columns that stay behind those of the log, such as the site in a log of many sites.
+
     Works on batch and streaming frames alike. Both kinds of row come from one pass with a
     conditional, since a request is either served or a candidate for ``unknown``.
     """
@@ -156,8 +160,9 @@ def classify(
         F.when(served, F.col("payload_bytes")).otherwise(F.lit(0)).alias("bytes_served"),
         F.when(served, F.col("cache_hit")).otherwise(F.lit(0)).alias("cache_hit"),
         "created_at",
+        *keep,
     )
-    return log_normalise(context, salt).select(LOG_COLUMNS)
+    return log_normalise(context, salt, keep).select(*LOG_COLUMNS, *keep)
 
 
 def servable_requests(

@@ -7,7 +7,7 @@ one row per map task in the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.config import LOG_WINDOWS, UNKNOWN_BOT, whitelisted
@@ -85,6 +85,17 @@ def top_bots(
     return top_by_hits(count_and_last_seen(recent, "bot_name", collation), "bot_name", limit)
 
 
+def top_bots_by(
+    log: DataFrame, by: str = "site", as_of: AsOf = None, days: int = 30, limit: int = 5
+) -> DataFrame:
+    """Per value of ``by`` the bots with most hits; ranked on one counted row per value and bot."""
+    recent = named_bot_rows(window_filter(log, as_of, days))
+    hits, seen = F.count(F.lit(1)).alias("hits"), F.max("created_at").alias("last_seen")
+    counted = recent.groupBy(by, "bot_name").agg(hits, seen)
+    order = Window.partitionBy(by).orderBy(F.desc("hits"), "bot_name")
+    return counted.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max(1, limit)).drop("_rn")
+
+
 def top_posts(
     log: DataFrame,
     as_of: AsOf = None,
