@@ -22,7 +22,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    return hyperminhash.deduplicate(docs.select(*COLUMNS), width=5, percent=80)
+    return hyperminhash.deduplicate(docs.select(*COLUMNS), width=5, percent=80, registers=512, band=8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

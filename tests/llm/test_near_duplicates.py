@@ -60,8 +60,8 @@ def edited(rng, words, share):
     return [rng.choice(WORDS) + str(rng.randrange(10**6)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_groups_around_the_threshold(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, sketch", [(0, {}), (1, {"registers": 512, "band": 8})])
+def test_groups_around_the_threshold(spark, seed, sketch, monkeypatch):
     monkeypatch.setattr(H, "BLOCK", 16)  # several blocks a group
     rng = random.Random(seed)
     rows = []
@@ -73,7 +73,7 @@ def test_groups_around_the_threshold(spark, seed, monkeypatch):
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(H.near_duplicates(docs, width=2)) == brute(rows, 2, 80)
+    assert found(H.near_duplicates(docs, width=2, **sketch)) == brute(rows, 2, 80)
 
 
 def test_estimate_stays_near_the_truth():

@@ -14,7 +14,7 @@ from trailmark.llm.common import Staging, fresh, partitions
 from trailmark.llm.graph import components
 from trailmark.llm.words import U, grams, mix, words
 
-REGISTERS = 256  # chosen by the top 8 bits of a shingle's hash
+REGISTERS = 256  # a power of two, chosen by the top bits of a shingle's hash
 MANTISSA = 10  # bits kept behind the leading one
 BAND = 6  # registers a band; 42 bands
 BLOCK = 512
@@ -30,11 +30,12 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(grams(hashes, min(width, len(hashes)))) if len(hashes) >= width else grams(hashes, len(hashes))
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
+def sketch(values: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """Registers of a sorted set: leading zeros plus one above the mantissa bits of the bucket's least hash; 0 is empty."""
-    bucket = (values >> U(56)).astype(np.int64)
+    top_bits = registers.bit_length() - 1
+    bucket = (values >> U(64 - top_bits)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rest = (values[first] << U(8)) | U(255)
+    rest = (values[first] << U(top_bits)) | U(registers - 1)
     top = rest
     zeros = np.zeros(len(rest), np.int64)
     for bits in (32, 16, 8, 4, 2, 1):
@@ -42,17 +43,17 @@ def sketch(values: np.ndarray) -> np.ndarray:
         zeros[empty] += bits
         top = np.where(empty, top << U(bits), top)
     mantissa = (top << U(1)) >> U(64 - MANTISSA)
-    out = np.zeros(REGISTERS, np.uint16)
+    out = np.zeros(registers, np.uint16)
     out[bucket[first]] = ((zeros + 1) << MANTISSA) | mantissa.astype(np.int64)
     return out
 
 
-def bands(registers: np.ndarray) -> np.ndarray:
+def bands(registers: np.ndarray, band: int = BAND) -> np.ndarray:
     """One hash per band that has a register set."""
-    count = REGISTERS // BAND
-    table = registers[: count * BAND].reshape(count, BAND).astype(U)
+    count = len(registers) // band
+    table = registers[: count * band].reshape(count, band).astype(U)
     key = np.arange(count, dtype=U) + U(1)
-    for i in range(BAND):
+    for i in range(band):
         key = mix(key + table[:, i] * U(0x9E3779B97F4A7C15))
     return key[table.any(1)]
 
@@ -67,7 +68,7 @@ def _similar(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, registers: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             k1, k2, sizes, sketches = [], [], [], []
@@ -77,7 +78,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 k1.append(a)
                 k2.append(b)
                 sizes.append(len(values))
-                sketches.append(sketch(values).tobytes() if len(values) else None)
+                sketches.append(sketch(values, registers).tobytes() if len(values) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("text_hash"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
                 names=["id", "text_hash", "k1", "k2", "n", "sketch"],
@@ -141,7 +142,7 @@ def _binaries(column) -> list[memoryview | bytes]:
     return column.to_pylist()
 
 
-def _estimated(batches, percent: int):
+def _estimated(batches, percent: int, registers: int):
     """Of each block pair, the rows that may be similar to a row of another component, by their sketches."""
     out, waiting = [], 0
     for table in _runs(batches, KEYS):
@@ -150,7 +151,7 @@ def _estimated(batches, percent: int):
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         if not len(left) or not len(right):
             continue
-        regs = np.frombuffer(b"".join(_binaries(table.column("sketch"))), np.uint16).reshape(-1, REGISTERS)
+        regs = np.frombuffer(b"".join(_binaries(table.column("sketch"))), np.uint16).reshape(-1, registers)
         r, filled = regs[right], (regs[right] > 0).astype(np.float32)
         possible = np.zeros(table.num_rows, bool)
         for at in range(0, len(left), 16):
@@ -217,6 +218,8 @@ def near_duplicates(
     *,
     width: int = 5,
     percent: int = 80,
+    registers: int = REGISTERS,
+    band: int = BAND,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -227,9 +230,10 @@ def near_duplicates(
     documents are linked if 100 * common >= ``percent`` * union.
 
     1. Equal sets become one class, before anything is compared.
-    2. Each class has a HyperMinHash sketch: 256 registers of leading zeros and 10 mantissa bits. Bands of 6
-       registers bring classes together; a pair at a similarity of 0.8 shares none of 42 bands three times in
-       a million, one at 0.85 twice in 10^9.
+    2. Each class has a HyperMinHash sketch: ``registers`` of leading zeros and 10 mantissa bits. Bands of
+       ``band`` registers bring classes together. With 256 and 6, a pair at a similarity of 0.8 shares none of
+       42 bands three times in a million, one at 0.85 twice in 10^9; with 512 and 8, eight times in a million
+       and once in 10^9, and dissimilar texts meet far less often, for twice the sketch.
     3. In each band's bucket all members are compared with the bucket's first class only, which is linear:
        first by the collision-corrected estimate, then by full sets. Components follow from these links.
     4. Members that share a first class, are of like size and still in different components are compared with
@@ -245,7 +249,7 @@ def near_duplicates(
     """
     staging = Staging(docs.sparkSession)
     parts = partitions(docs.sparkSession)
-    signed = staging.keep(_signed(docs, id_col, text_col, width), "signed")
+    signed = staging.keep(_signed(docs, id_col, text_col, width, registers), "signed")
     classes = (
         signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), F.max("sketch").alias("sketch"))
         .withColumn("cls", F.monotonically_increasing_id())
@@ -254,7 +258,7 @@ def near_duplicates(
 
     def banded(batches):
         for batch in batches:
-            found = [bands(np.frombuffer(x, np.uint16)) for x in _binaries(batch.column("sketch"))]
+            found = [bands(np.frombuffer(x, np.uint16), band) for x in _binaries(batch.column("sketch"))]
             owner = np.repeat(batch.column("cls").to_numpy(), [len(x) for x in found])
             keys = np.concatenate(found) if found else np.zeros(0, U)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owner, pa.int64())], names=["band", "cls"])
@@ -275,7 +279,7 @@ def near_duplicates(
 
     def likely(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(_binaries(batch.column(c))), np.uint16).reshape(-1, REGISTERS) for c in ("rep_sketch", "sketch"))
+            x, y = (np.frombuffer(b"".join(_binaries(batch.column(c))), np.uint16).reshape(-1, registers) for c in ("rep_sketch", "sketch"))
             equal, union = ((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1)
             yield batch.filter(pa.array(similarity_bound(equal, union) * 100 >= percent)).select(["rep", "cls", "rep_n", "n"])
 
@@ -327,7 +331,7 @@ def near_duplicates(
     possible = (
         placed.join(sketches, "cls").select(*KEYS, "cls", "comp", "block", "n", "home", "sketch")
         .repartition(parts, *KEYS).sortWithinPartitions(*KEYS)
-        .mapInArrow(lambda b: _estimated(b, percent), shape)
+        .mapInArrow(lambda b: _estimated(b, percent, registers), shape)
     )
     possible = staging.keep(possible, "possible")
     more = possible.select("cls").distinct().join(sets, "cls", "left_anti")

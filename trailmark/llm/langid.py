@@ -75,28 +75,29 @@ def fit(
     counted = words.select("lang", F.explode(pieces).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = _most_frequent(counted, "gram", max_grams // len(languages))
 
-    table: list[np.ndarray] = []
-
-    def rows_of(frame: DataFrame, column: str, totals_by: str) -> dict[str, int]:
-        found: dict[str, np.ndarray] = {}
-        for lang, item, n in frame.select("lang", column, "n").collect():  # bounded by the parameters
-            found.setdefault(item, np.zeros(len(languages)))[languages.index(lang)] += n
-        totals: dict[object, np.ndarray] = {}
-        group = (lambda x: len(x)) if totals_by == "length" else (lambda x: 0)
-        for item, n in found.items():
-            totals[group(item)] = totals.get(group(item), 0) + n
-        index = {}
-        for item in sorted(found):
-            share = (found[item] + 0.5) / (totals[group(item)] + 0.5 * len(found))
-            index[item] = len(table)
-            table.append(np.log(share))
-        return index
-
-    known_words = rows_of(words, "word", "all")
-    known_grams = rows_of(grams, "gram", "length")
+    known_words, first = _log_frequencies(words, "word", languages, lambda item: 0)
+    known_grams, second = _log_frequencies(grams, "gram", languages, len)
     words.unpersist()
-    table.append(np.zeros(len(languages)))
-    return LanguageModel(languages, known_words, known_grams, np.array(table, np.float32), longest)
+    known_grams = {k: i + len(first) for k, i in known_grams.items()}
+    table = np.concatenate([first, second, np.zeros((1, len(languages)), np.float32)])
+    return LanguageModel(languages, known_words, known_grams, table, longest)
+
+
+def _log_frequencies(frame: DataFrame, column: str, languages: tuple[str, ...], group) -> tuple[dict[str, int], np.ndarray]:
+    """Rows by item in order, and smoothed log shares per language among the items of one group."""
+    found = frame.select("lang", column, "n").toArrow()  # bounded by the parameters
+    items = found.column(column).to_pylist()
+    index = {item: i for i, item in enumerate(sorted(set(items)))}
+    counts = np.full((len(index), len(languages)), 0.5)
+    at = {lang: i for i, lang in enumerate(languages)}
+    np.add.at(counts, ([index[x] for x in items], [at[x] for x in found.column("lang").to_pylist()]), found.column("n").to_numpy())
+    groups = np.fromiter((group(item) for item in index), np.int64, len(index))
+    for g in np.unique(groups):
+        mine = groups == g
+        # Half a count for each item of the vocabulary, in every group.
+        extra = 0.5 * (len(index) - int(mine.sum()))
+        counts[mine] /= counts[mine].sum(0) + extra
+    return index, np.log(counts).astype(np.float32)
 
 
 def _most_frequent(counted: DataFrame, item: str, n: int) -> DataFrame:
