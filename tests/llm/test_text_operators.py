@@ -223,6 +223,40 @@ def test_copies_and_edited_copies_are_found(spark, block):
     assert {r["doc_id"] for r in shown(decontaminate.clean(frame, tests))} == set(texts) - {i for i, _ in expected}
 
 
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_evenly_edited_copies_are_found_beside_whole_ones(spark, every):
+    # Whole copies elsewhere make the unchanged 3-grams commoner than those that the edits broke.
+    items = [(k, prose(900 + k, 40)) for k in range(3)]
+    docs = []
+    for k, text in items:
+        edited = [f"edit{i}" if i % every == every - 1 else w for i, w in enumerate(text.split())]
+        docs.append((k, f"{prose(950 + k, 60)} {' '.join(edited)} {prose(960 + k, 60)}"))
+        docs += [(10 * (k + 1) + j, f"{prose(970 + 7 * k + j, 50)} {text}") for j in range(4)]
+    docs.append((99, prose(999, 200)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = shown(decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string")))
+    scores = {(r["doc_id"], r["item_id"]): r["score"] for r in got}
+    assert set(scores) == {(i, i if i < 10 else i // 10 - 1) for i, _ in docs if i != 99}
+    for k, text in items:
+        assert scores[k, k] == pytest.approx(smith_waterman(text.split(), dict(docs)[k].split()) / 80)
+
+
+def test_common_words_bound_loses_no_alignment():
+    # Every region that an alignment could pass in is kept: few letters, so that seeds and words are common.
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 12, 16)) for _ in range(8)]
+    known = decontaminate._seeds(list(range(8)), texts, 3)
+    for _ in range(60):
+        item = int(rng.integers(0, 8))
+        copy = [w for w in texts[item].split() for w in ([w] if rng.random() > 0.2 else [[], [w, "x"], ["y"]][rng.integers(0, 3)])]
+        (_, hashes, _, _), = words.words(pa.array([" ".join(["lead"] * 40 + copy + ["tail"] * 40)]), "punctuation", latin=True)
+        found, at = decontaminate._lookup(known.seeds, words.grams(hashes, 3))
+        best = max([decontaminate.align(known.words[item], [hashes[a:b]])[0][0] for i, a, b in decontaminate._regions(found, at, known, hashes, 0.5) if i == item], default=0)
+        whole = decontaminate.align(known.words[item], [hashes])[0][0]
+        own = np.isin(known.seeds[at], words.grams(known.words[item], 3)).any()
+        assert best == whole or whole < 16 or not own
+
+
 def test_awkward_rows_are_kept_clean(spark):
     docs = awkward(spark)
     tests = spark.createDataFrame([(1, "nothing of this kind occurs anywhere here")], "item_id long, text string")

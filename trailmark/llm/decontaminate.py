@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, an exact bound on the words in common, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ class Items:
     """A block of test items as word hashes, and the seeds that lead to them.
 
     ``seeds`` is sorted; seed i belongs to (item, word position) pairs ``owners[first[i]:first[i + 1]]``.
+    ``bags`` has each item's distinct words, sorted, and how often it holds each.
     """
 
     ids: list
@@ -29,6 +30,7 @@ class Items:
     seeds: np.ndarray
     first: np.ndarray
     owners: np.ndarray
+    bags: list[tuple[np.ndarray, np.ndarray]]
 
 
 def _item_words(texts: list[str | None]) -> list[np.ndarray]:
@@ -45,49 +47,18 @@ def _lookup(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray,
     return hit, at[hit]
 
 
-def _document_frequency(docs: DataFrame, text_col: str, wanted: np.ndarray, n: int) -> np.ndarray:
-    """In how many documents each wanted n-gram occurs, over the whole table."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _seeds(ids: list, texts: list, n: int) -> Items:
+    """Every n-gram of every item is a seed, so any run of ``n`` unchanged words leads to its item.
 
-    def count(batches):
-        known = shared.value
-        total = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for _, hashes, _, _ in words(batch.column("text"), "punctuation", latin=True):
-                total[np.unique(_lookup(known, grams(hashes, n))[1])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["seed", "n"])
-
-    out = np.zeros(len(wanted), np.int64)
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "seed long, n long")
-    # One row per n-gram of the block of items, which is bounded.
-    for row in counted.groupBy("seed").agg(F.sum("n").alias("n")).collect():
-        out[row["seed"]] = row["n"]
-    return out
-
-
-def _seeds(docs: DataFrame, text_col: str, ids: list, texts: list, n: int, span: int) -> Items:
-    """For each ``span`` neighbouring n-grams of an item, the one that the fewest documents hold.
-
-    So any unchanged run of ``n + span - 1`` words has a seed, however common its n-grams may be, and the
-    common ones are passed over wherever a rarer one is near. Items shorter than ``n`` words have no seeds.
+    Items shorter than ``n`` words have no seeds.
     """
     item_words = _item_words(texts)
     per_item = [grams(x, n) for x in item_words]
-    wanted = np.unique(np.concatenate([np.zeros(0, U), *per_item]))
-    frequency = _document_frequency(docs, text_col, wanted, n)
-    pairs = []
-    for item, mine in enumerate(per_item):
-        if not len(mine):
-            continue
-        cost = frequency[np.searchsorted(wanted, mine)]
-        chosen = {min(range(i, min(i + span, len(mine))), key=lambda k: (cost[k], k)) for i in range(max(1, len(mine) - span + 1))}
-        pairs += [(mine[k], item, k) for k in sorted(chosen)]
-    pairs.sort(key=lambda x: int(x[0]))
-    values = np.array([x[0] for x in pairs], U)
-    seeds, first = np.unique(values, return_index=True)
-    owners = np.array([x[1:] for x in pairs], np.int64).reshape(-1, 2)
-    return Items(ids, item_words, seeds, np.append(first, len(pairs)), owners)
+    values = np.concatenate([np.zeros(0, U), *per_item])
+    owners = np.array([(item, k) for item, mine in enumerate(per_item) for k in range(len(mine))], np.int64).reshape(-1, 2)
+    order = np.argsort(values, kind="stable")
+    seeds, first = np.unique(values[order], return_index=True)
+    return Items(ids, item_words, seeds, np.append(first, len(values)), owners[order], [np.unique(x, return_counts=True) for x in item_words])
 
 
 def align(item: np.ndarray, passages: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -129,16 +100,31 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> list[tuple[int, int,
     return [(int(a), int(b), int(c)) for a, b, c in zip(best, best_begin, best_end)]
 
 
-def _regions(found: np.ndarray, at: np.ndarray, items: Items, length: int) -> Iterator[tuple[int, int, int]]:
-    """(item, first word, past-the-end word) around the seed hits of one document, overlapping ones joined."""
-    spans: dict[int, list[tuple[int, int]]] = {}
+def _common(bag: tuple[np.ndarray, np.ndarray], passage: np.ndarray) -> int:
+    """How many words an item and a passage have in common, each as often as both hold it."""
+    at = _lookup(bag[0], passage)[1]
+    return int(np.minimum(np.bincount(at, minlength=len(bag[0])), bag[1]).sum())
+
+
+def _regions(found: np.ndarray, at: np.ndarray, items: Items, hashes: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(item, first word, past-the-end word) around the seed hits of one document, overlapping ones joined.
+
+    Hits of common n-grams go by a bound: a passage of score ``threshold`` has at least that share of the item's
+    words in common with it. Gaps that put some of them past the slack have cost the score as much, so every hit
+    in such a passage stays.
+    """
+    length = len(hashes)
+    spans: dict[int, set[tuple[int, int]]] = {}
     for position, seed in zip(found.tolist(), at.tolist()):
         for item, k in items.owners[items.first[seed] : items.first[seed + 1]].tolist():
             size = len(items.words[item])
-            slack = size // 2 + 4
-            spans.setdefault(item, []).append((max(0, position - k - slack), min(length, position - k + size + slack)))
-    for item, mine in spans.items():
-        mine.sort()
+            slack = max(size // 2 + 4, int(size * (1 - threshold)) + 1)
+            spans.setdefault(item, set()).add((max(0, position - k - slack), min(length, position - k + size + slack)))
+    for item, windows in spans.items():
+        least = threshold * len(items.words[item])
+        mine = sorted(x for x in windows if _common(items.bags[item], hashes[slice(*x)]) >= least)
+        if not mine:
+            continue
         low, high = mine[0]
         for a, b in mine[1:]:
             if a < high - len(items.words[item]) // 2:
@@ -154,7 +140,6 @@ def contamination(
     benchmark: DataFrame,
     *,
     n: int = 3,
-    span: int = 4,
     threshold: float = 0.5,
     block: int = 20_000,
     id_col: str = "doc_id",
@@ -164,16 +149,16 @@ def contamination(
 ) -> DataFrame:
     """Passages of documents that copy test items, also edited ones.
 
-    Rare n-grams of the items are the seeds. Each document looks its n-grams up among the seeds, and the words
-    around a hit are aligned with the item. ``score`` is the alignment's score over that of a perfect copy
-    (2 a word); matches of ``threshold`` and above are returned, one row for each passage, with the passage's
+    All n-grams of the items are the seeds. Each document looks its n-grams up among the seeds, and where the
+    words around a hit have enough in common with the item for the threshold, they are aligned with it. ``score``
+    is the alignment's score over that of a perfect copy (2 a word); matches of ``threshold`` and above are returned, one row for each passage, with the passage's
     bytes ``start`` to ``stop`` in the UTF-8 text. Where one joined region holds several copies of one item,
     each further copy is found after the better one is taken out.
 
     Words are runs of letters and digits (every non-ASCII character counts as a letter), lower-cased for ASCII
     and Latin-1. The test items go to the tasks in blocks of ``block`` items, so what is broadcast is bounded
     for a benchmark of any size, and every document meets every block. Document order plays no part; nothing
-    is shuffled but one row per seed.
+    is shuffled. A copy without a run of ``n`` unchanged words anywhere is not found, whatever its score.
 
     Null or empty texts match nothing; items of fewer than ``n`` words are compared by no one; equal items
     each give their rows; repeated documents each give theirs. Columns beside the named ones are not read.
@@ -181,11 +166,10 @@ def contamination(
     wanted = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     out = None
     for ids, texts in _blocks(wanted, block):
-        found = _match(docs, _seeds(docs, text_col, ids, texts, n, span), n, threshold, id_col, text_col, benchmark.schema[item_col].dataType, item_col)
+        found = _match(docs, _seeds(ids, texts, n), n, threshold, id_col, text_col, benchmark.schema[item_col].dataType, item_col)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        empty = Items([], [], np.zeros(0, U), np.zeros(1, np.int64), np.zeros((0, 2), np.int64))
-        out = _match(docs, empty, n, threshold, id_col, text_col, benchmark.schema[item_col].dataType, item_col)
+        out = _match(docs, _seeds([], [], n), n, threshold, id_col, text_col, benchmark.schema[item_col].dataType, item_col)
     return out
 
 
@@ -219,7 +203,7 @@ def _match(docs, items: Items, n, threshold, id_col, text_col, item_type, item_c
                 found, at = _lookup(known.seeds, grams(hashes, n))
                 if not len(found):
                     continue
-                for item, low, high in _regions(found, at, known, len(hashes)):
+                for item, low, high in _regions(found, at, known, hashes, threshold):
                     waiting.setdefault(item, []).append((row, hashes[low:high], first[low:high], last[low:high]))
             while waiting:
                 again: dict[int, list[tuple]] = {}
