@@ -22,6 +22,20 @@ MALE_NAMES = [
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _SECRET_NAME = r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)"
 _SECRET_VALUE = r"[A-Za-z0-9_+/=.\-]*[A-Za-z0-9_+/=\-]"
+# Account numbers by total length; their bodies hold letters in many countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "AO|CV|GW|LY|MZ|PT|ST", 26: "DZ|IR|IS|TR", 27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD",
+    28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN_LISTED = "|".join(
+    rf"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{size // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{size % 4}}}" if size % 4 else "")
+    for size, countries in IBAN_LENGTHS.items()
+)
+# Letters come in two groups at most before the first digit of a body; capitals after a number go on without one.
+_IBAN_LISTED = rf"(?=[A-Z]{{2}}[0-9]{{2}}[A-Z ]{{0,11}}[0-9])(?:{_IBAN_LISTED})"
 _CAPITALISED = r"\p{Lu}[\p{L}'\-]+"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{2,}",
@@ -34,14 +48,14 @@ PATTERNS = {
         r"|(?<![0-9])\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4})(?![0-9]|\.[0-9])"
     ),
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?:{_IBAN_LISTED}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{3,7}}(?: ?[0-9]{{1,3}})?)(?![\p{{L}}\p{{N}}])",
     "addressed": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? {_CAPITALISED}(?: {_CAPITALISED})?",
     "named": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(FEMALE_NAMES + MALE_NAMES)}) {_CAPITALISED}",
 }
 ANY = "|".join(PATTERNS.values())
-# Whatever has no digit, no at sign and no capital of a name is settled by this cheaper test.
-_NAMES = "|".join([PATTERNS["addressed"], PATTERNS["named"]])
-QUICK = rf"[0-9@]|{_NAMES}"
+# The patterns that match without a digit or an at sign; whatever has none of these is settled by this cheaper test.
+_BARE = "|".join(PATTERNS[name] for name in ("secret", "addressed", "named"))
+QUICK = rf"[0-9@]|{_BARE}"
 
 
 def _is(kind: str, column: Column) -> Column:
