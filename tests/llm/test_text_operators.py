@@ -257,6 +257,24 @@ def test_common_words_bound_loses_no_alignment():
         assert best == whole or whole < 16 or not own
 
 
+def test_copies_in_any_script_and_of_short_items(spark):
+    items = [
+        (0, "下列哪一项是光合作用的产物？请选择正确答案。"), (1, "Столица Франции — город Париж, не Лион"), (2, "photosynthesis"), (3, "Paris Texas"),
+        (4, "he said don't stop the music now - please"), (5, "Ο ΜΕΓΑΣ ΔΡΟΜΟΣ ΤΗΣ ΑΘΗΝΑΣ"),
+    ]
+    copies = {
+        0: "下列哪一项是光合作用的产物，请选择正确答案", 1: "СТОЛИЦА ФРАНЦИИ - ГОРОД «ПАРИЖ», НЕ ЛИОН", 2: "Photosynthesis", 3: "PARIS, Texas",
+        4: "he said “don’t stop the music now” – please", 5: "ο μέγας δρόμος".replace("έ", "ε").replace("ό", "ο") + " της αθηνας",
+    }
+    docs = [(k, f"前文如此。Élan… {copy}… и дальше") for k, copy in copies.items()]
+    docs += [(6, "photosynthesises and Parisian Texas, paris in texas"), (7, "中文的另一段文字与测试无关")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = shown(decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string")))
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got} == {(k, k, 1.0) for k in copies}
+    for r in got:
+        assert dict(docs)[r["doc_id"]].encode()[r["start"] : r["stop"]].decode() == copies[r["doc_id"]]
+
+
 def test_awkward_rows_are_kept_clean(spark):
     docs = awkward(spark)
     tests = spark.createDataFrame([(1, "nothing of this kind occurs anywhere here")], "item_id long, text string")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,11 @@ from trailmark.llm.common import Staging
 from trailmark.llm.words import U, grams, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+# Letters written without blanks between words: each is a word by itself.
+SINGLE = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF),
+]
 
 
 @dataclass(frozen=True)
@@ -22,7 +30,8 @@ class Items:
     """A block of test items as word hashes, and the seeds that lead to them.
 
     ``seeds`` is sorted; seed i belongs to (item, word position) pairs ``owners[first[i]:first[i + 1]]``.
-    ``bags`` has each item's distinct words, sorted, and how often it holds each.
+    ``bags`` has each item's distinct words, sorted, and how often it holds each. ``short`` has the items of
+    fewer words than a seed: by their number of words the sorted hashes of them all, and each hash's items.
     """
 
     ids: list
@@ -31,10 +40,62 @@ class Items:
     first: np.ndarray
     owners: np.ndarray
     bags: list[tuple[np.ndarray, np.ndarray]]
+    short: dict[int, tuple[np.ndarray, list[list[int]]]]
 
 
 def _item_words(texts: list[str | None]) -> list[np.ndarray]:
-    return [hashes for _, hashes, _, _ in words(pa.array(texts, pa.string()), "punctuation", latin=True)]
+    return [hashes for _, hashes, _, _ in _words(pa.array(texts, pa.string()))]
+
+
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point what it is written as (lower case, or a blank where it ends a word), and if it is a word by itself."""
+    folded, single = np.arange(sys.maxunicode + 1, dtype=np.uint32), np.zeros(sys.maxunicode + 1, bool)
+    for a, b in SINGLE:
+        single[a : b + 1] = True
+    for i in range(128, sys.maxunicode + 1):
+        kind = unicodedata.category(chr(i))
+        if kind[0] in "PSZ" or kind == "Cc" or i in (0x200B, 0xFEFF):
+            folded[i], single[i] = 0x20, False
+        elif kind[0] == "L" and len(small := chr(i).lower()) == 1:
+            folded[i] = ord(small)
+    folded[ord("ς")] = ord("σ")
+    return folded, single
+
+
+def _rewritten(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The code points that a text's words are taken from, and of which character of the text each one comes."""
+    folded, single = _characters()
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    alone = single[codes]
+    # A blank before and after each character that is a word by itself.
+    sizes = np.where(alone, 3, 1)
+    comes_of = np.repeat(np.arange(len(codes)), sizes)
+    out = folded[codes][comes_of]
+    at = (np.cumsum(sizes) - sizes)[alone]
+    out[at], out[at + 2] = 0x20, 0x20
+    return out, comes_of
+
+
+def _byte_borders(codes: np.ndarray) -> np.ndarray:
+    """Where each code point starts in UTF-8 (one more at the end)."""
+    return np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64))])
+
+
+def _places(text: str, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions in the rewritten text as those in the text itself."""
+    out, comes_of = _rewritten(text)
+    new, old = _byte_borders(out), _byte_borders(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    return old[comes_of[np.searchsorted(new, first)]], old[comes_of[np.searchsorted(new, last) - 1] + 1]
+
+
+def _words(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``words`` by Unicode; positions are those of the rewritten text, see ``_places``."""
+    for low in range(0, len(column), rows):
+        texts = column.slice(low, rows).to_pylist()
+        texts = [t if t is None or t.isascii() else _rewritten(t)[0].tobytes().decode("utf-32-le") for t in texts]
+        for row, *found in words(pa.array(texts, pa.large_string()), "punctuation", latin=True):
+            yield low + row, *found
 
 
 def _lookup(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +111,7 @@ def _lookup(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray,
 def _seeds(ids: list, texts: list, n: int) -> Items:
     """Every n-gram of every item is a seed, so any run of ``n`` unchanged words leads to its item.
 
-    Items shorter than ``n`` words have no seeds.
+    Items shorter than ``n`` words have no seeds; they are looked up as a whole.
     """
     item_words = _item_words(texts)
     per_item = [grams(x, n) for x in item_words]
@@ -58,7 +119,22 @@ def _seeds(ids: list, texts: list, n: int) -> Items:
     owners = np.array([(item, k) for item, mine in enumerate(per_item) for k in range(len(mine))], np.int64).reshape(-1, 2)
     order = np.argsort(values, kind="stable")
     seeds, first = np.unique(values[order], return_index=True)
-    return Items(ids, item_words, seeds, np.append(first, len(values)), owners[order], [np.unique(x, return_counts=True) for x in item_words])
+    by_hash: dict[int, dict[int, list[int]]] = {}
+    for item, mine in enumerate(item_words):
+        if 0 < len(mine) < n:
+            by_hash.setdefault(len(mine), {}).setdefault(int(grams(mine, len(mine))[0]), []).append(item)
+    short = {size: (np.array(sorted(known), U), [known[x] for x in sorted(known)]) for size, known in by_hash.items()}
+    bags = [np.unique(x, return_counts=True) for x in item_words]
+    return Items(ids, item_words, seeds, np.append(first, len(values)), owners[order], bags, short)
+
+
+def _whole(hashes: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item, first word, past-the-end word) of each exact copy of an item that is too short for seeds."""
+    for size, (known, owners) in items.short.items():
+        found, at = _lookup(known, grams(hashes, size))
+        for position, k in zip(found.tolist(), at.tolist()):
+            for item in owners[k]:
+                yield item, position, position + size
 
 
 def align(item: np.ndarray, passages: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -155,12 +231,13 @@ def contamination(
     bytes ``start`` to ``stop`` in the UTF-8 text. Where one joined region holds several copies of one item,
     each further copy is found after the better one is taken out.
 
-    Words are runs of letters and digits (every non-ASCII character counts as a letter), lower-cased for ASCII
-    and Latin-1. The test items go to the tasks in blocks of ``block`` items, so what is broadcast is bounded
+    Words are runs of letters, marks and digits by Unicode, in lower case; characters of scripts without blanks
+    between words (Chinese, Japanese, Thai, Lao, Khmer, Burmese) are words one by one. The test items go to the tasks in blocks of ``block`` items, so what is broadcast is bounded
     for a benchmark of any size, and every document meets every block. Document order plays no part; nothing
     is shuffled. A copy without a run of ``n`` unchanged words anywhere is not found, whatever its score.
 
-    Null or empty texts match nothing; items of fewer than ``n`` words are compared by no one; equal items
+    Null or empty texts match nothing; items of fewer than ``n`` words are found as exact copies only (score 1,
+    so a benchmark with an item of one word names every document with that word); equal items
     each give their rows; repeated documents each give theirs. Columns beside the named ones are not read.
     """
     wanted = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
@@ -199,10 +276,20 @@ def _match(docs, items: Items, n, threshold, id_col, text_col, item_type, item_c
         for batch in batches:
             rows, which, scores, starts, stops = [], [], [], [], []
             waiting: dict[int, list[tuple]] = {}
-            for row, hashes, first, last in words(batch.column("text"), "punctuation", latin=True):
+            for row, hashes, first, last in _words(batch.column("text")):
                 found, at = _lookup(known.seeds, grams(hashes, n))
-                if not len(found):
+                whole = list(_whole(hashes, known))
+                if not len(found) and not whole:
                     continue
+                text = batch.column("text")[row].as_py()
+                if not text.isascii():
+                    first, last = _places(text, first, last)
+                for item, a, b in whole:
+                    rows.append(row)
+                    which.append(known.ids[item])
+                    scores.append(1.0)
+                    starts.append(int(first[a]))
+                    stops.append(int(last[b - 1]))
                 for item, low, high in _regions(found, at, known, hashes, threshold):
                     waiting.setdefault(item, []).append((row, hashes[low:high], first[low:high], last[low:high]))
             while waiting:
