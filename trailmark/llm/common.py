@@ -79,15 +79,17 @@ _UNUSUAL = re.compile("[^\x00-ɏ‐-‧]|<\\|")
 
 
 @functools.lru_cache(maxsize=4)
-def byte_bpe(json_path: str, ranks_path: str | None = None):
+def byte_bpe(json_path: str, ranks_path: str | None = None, special: bool = True):
     """``text -> ids`` of a byte-level BPE tokenizer file, without special tokens added.
 
     ``ranks_path`` names the same vocabulary as ranks; plain texts then use the faster encoder, which gives
-    the same ids. Without it every text goes through the tokenizer file.
+    the same ids. Without it every text goes through the tokenizer file. With ``special=False`` the strings of
+    special tokens are plain text.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_path)
+    slow.encode_special_tokens = not special
 
     def by_file(text: str) -> list[int]:
         return slow.encode(text, add_special_tokens=False).ids
@@ -114,3 +116,10 @@ def vocabulary() -> dict[str, str]:
         "json_path": public_tokenizers.path("byte_bpe_50k.json"),
         "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"),
     }
+
+
+def pieces() -> dict[str, str]:
+    """The default second tokenizer's file."""
+    import public_tokenizers
+
+    return {"model_path": public_tokenizers.path("piece_bpe_32k.model")}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import ctph, decontaminate, hyperminhash, langid, licences, packing, shards, suffixes, surrogates, token_counts
-from trailmark.llm.common import vocabulary
+from trailmark.llm import (
+    align, conversations, ctph, decontaminate, hyperminhash, langid, licences, packing, secrets, shards, suffixes, surrogates, token_counts,
+)
+from trailmark.llm.common import pieces, vocabulary
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,23 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_docs(spark, sf_dir))
+    return found.select(
+        "doc_id", *(secrets.of_kind(k).alias(f"n_{k}") for k in secrets.BASE_KINDS),
+        F.sha2(secrets.listed(*secrets.BASE_KINDS), 256).alias("base_sha256"), secrets.listed().alias("spans"),
+    )
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repaired(conversations.damaged(rows), rows)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.scored(_docs(spark, sf_dir), **vocabulary(), **pieces())
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op6_licences": op6_licences,
@@ -72,6 +91,9 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op7_packing": op7_packing,
     "op9_sharding": op9_sharding,
+    "op11_secrets": op11_secrets,
+    "op12_conversations": op12_conversations,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_licences": licences.oracle()}
