@@ -9,20 +9,21 @@ from trailmark.llm import decontaminate, hyperminhash, langid, packing, surrogat
 from trailmark.llm.common import Staging, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-# Below this confidence (a guess among four languages has 0.25) the language is taken as unknown.
-LEAST_SCORE = 0.3
+# Below this multiple of a bare guess's confidence (one over the number of languages) the language is taken as unknown.
+LEAST_TIMES = 1.2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those whose language can't be told."""
     model = langid.fit(docs.where(~langid.held_out()))
     judged = langid.predict(docs.select(*COLUMNS), model)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    least = min(LEAST_TIMES / max(len(model.languages), 1), 1.0)  # a single language is certain
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    return hyperminhash.deduplicate(docs.select(*COLUMNS), width=5, percent=80, registers=512, band=8)
+    return hyperminhash.deduplicate(docs.select(*COLUMNS), width=5, percent=80, registers=512, band=7, borrow=True)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def edited(rng, words, share):
     return [rng.choice(WORDS) + str(rng.randrange(10**6)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("seed, sketch", [(0, {}), (1, {"registers": 512, "band": 8})])
+@pytest.mark.parametrize("seed, sketch", [(0, {}), (1, {"registers": 512, "band": 7, "borrow": True})])
 def test_groups_around_the_threshold(spark, seed, sketch, monkeypatch):
     monkeypatch.setattr(H, "BLOCK", 16)  # several blocks a group
     rng = random.Random(seed)
@@ -76,6 +76,36 @@ def test_groups_around_the_threshold(spark, seed, sketch, monkeypatch):
     assert found(H.near_duplicates(docs, width=2, **sketch)) == brute(rows, 2, 80)
 
 
+def test_short_texts_with_borrowed_registers(spark):
+    """Texts of a few words, many with one line in common: all links at the threshold, and hardly any other bucket."""
+    rng = random.Random(6)
+    line = prose(77, 12)
+    rows = []
+    for i in range(150):
+        words = prose(1000 + i, rng.randrange(8, 45)).split() + (line.split() if i % 2 else [])
+        rows.append(" ".join(words))
+        if i % 3 == 0:
+            rows.append(" ".join(edited(rng, words, 0.04)))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(H.near_duplicates(docs, width=2, registers=512, band=7, borrow=True)) == brute(rows, 2, 80)
+
+
+def test_borrowed_registers_agree_as_the_sets_do():
+    rng = np.random.default_rng(2)
+    values = lambda n: rng.permutation(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(U) * U(2))
+    for common, rest in ((8, 1), (40, 5), (400, 50), (12, 60)):
+        equal = []
+        for _ in range(300):
+            both = values(common)
+            x, y = (H.borrowed(H.sketch(np.sort(np.concatenate([both, values(rest)])), 512)) for _ in range(2))
+            equal.append((x == y).mean())
+        assert abs(np.mean(equal) - common / (common + 2 * rest)) < 0.03
+    lone = [H.bands(H.sketch(np.sort(np.concatenate([both[:3], values(20)])), 512), 7, True) for _ in range(60)]
+    assert len(np.unique(np.concatenate(lone))) > 0.99 * sum(map(len, lone))
+    assert not H.borrowed(np.zeros(64, np.uint16)).view(np.uint16).reshape(-1, 4)[:, 0].any()
+
+
 def test_estimate_stays_near_the_truth():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):

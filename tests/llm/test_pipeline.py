@@ -42,6 +42,15 @@ def test_every_stage_on_the_smallest_sample(spark, tmp_path):
     assert found == want
 
 
+def test_a_bare_guess_goes_with_any_number_of_languages(spark):
+    """Texts in a script that no learned language has are guesses; those of a learned one stay."""
+    said = {"en": "the cat and the dog are here", "de": "der Hund und die Katze sind hier", "es": "el perro y el gato", "fr": "le chien et la souris", "it": "il cane con lo gatto", "nl": "de hond en het paard"}
+    for n in (1, 2, 3, 6):
+        rows = [(3 * i + k, said[lang], lang, "s", 1) for i in range(6) for k, lang in enumerate(list(said)[:n])] + [(900, "ψωμί και νερό", None, "s", 1), (901, "123 ...", None, "s", 1)]
+        kept = {r["doc_id"] for r in shown(P.language_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF))}
+        assert kept == {r[0] for r in rows if r[0] < 900} | ({900} if n == 1 else set())
+
+
 def test_run_and_awkward_rows(spark, tmp_path):
     folder = str(tmp_path / "sf")
     awkward(spark).write.parquet(f"{folder}/documents.parquet")
