@@ -19,7 +19,7 @@ HEADLINE = (
     "traffic_summary", "analytics_report", "sort_export", "retention_expired", "servable_requests",
     "bot_first_match", "append_request_log", "listed_posts", "sitemap_xml", "llms_index",
     "html_to_markdown", "html_to_markdown_page", "markdown_documents", "markdown_refresh", "llms_full",
-    "savings_report", "cache_hit_labels", "stream_classify", "stream_daily_hits", "stream_cache_hit",
+    "savings_report", "cache_hit_labels", "stream_classify", "stream_daily_hits", "stream_cache_hit_state",
 )
 
 

@@ -507,6 +507,7 @@ FROM (SELECT site, octet_length(encode(post_content)) AS h, octet_length(encode(
     "stream_daily_hits": "SELECT CAST(created_at AS DATE) AS dt, bot_name, count(*) AS hits FROM log GROUP BY ALL",
     "cache_hit_labels": LABELS,
     "stream_cache_hit": LABELS,
+    "stream_cache_hit_state": LABELS,
     "stream_markdown_refresh": f"SELECT id AS post_id, markdown, {NOW} AS built_at, {ENDED} AS expires_at FROM docs",
 }
 

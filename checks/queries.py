@@ -17,7 +17,7 @@ from trailmark.plans.request_log import request_log
 from trailmark.session import shared_folder
 from trailmark.sources import tables
 from trailmark.sources.schemas import EXPORT_COLUMNS
-from trailmark.streaming import hit_state, jobs
+from trailmark.streaming import hit_labels, hit_state, jobs
 
 AS_OF = b.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -771,8 +771,34 @@ def cache_hit_labels(s, d):
     return labelled.select("id", "post_id", "cache_hit")
 
 
+def stream_in_time_order(s, rows, at, path, files=4):
+    """A stream of ``rows`` in files that follow one another in time, one file a trigger."""
+    second = clock.epoch_second(at).cast("double")
+    borders = rows.select(second.alias("at")).approxQuantile("at", [i / files for i in range(1, files)], 0.01)
+    part = sum(((second >= x).cast("int") for x in borders), F.lit(0))
+    for i in range(files):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query
 def stream_cache_hit(s, d):
+    out = shared_folder(s)
+    # Files of both sources are cut at times of their own, so neither source's rows come complete.
+    events = b.table(s, d, "events")
+    events = stream_in_time_order(s, events, clock.to_second(F.col("ts")), f"{out}/events")
+    pages = b.table(s, d, "pages")
+    pages = stream_in_time_order(s, pages, b.post_modified(), f"{out}/pages")
+    saves = pages.select((F.col("page_id") + 1).alias("post_id"), b.post_modified().alias("saved_at"))
+    rows = hit_state.request_and_save_events(served_requests(b.as_access_events(events)), saves)
+    hit_labels.stream_hit_labels(rows, f"{out}/labels", f"{out}/state", TTL).awaitTermination()
+    hit_labels.finish_hit_labels(s, f"{out}/labels", f"{out}/state", TTL)
+    return hit_labels.read_hit_labels(s, f"{out}/labels").select("id", "post_id", "cache_hit")
+
+
+@query
+def stream_cache_hit_state(s, d):
+    """The form with one number per post in the state store; here a trigger holds all rows."""
     out = shared_folder(s)
     pages = sample_stream(s, d, "pages")
     saves = pages.select((F.col("page_id") + 1).alias("post_id"), b.post_modified().alias("saved_at"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.operators.cachehits import cache_hit_labels
+from trailmark.streaming.hit_labels import finish_hit_labels, read_hit_labels, stream_hit_labels
 from trailmark.streaming.hit_state import request_and_save_events, stream_cache_hit
 
 SCHEMA = "id long, post_id long, created_at string"
@@ -78,3 +79,29 @@ def test_stream_equals_walk_over_several_batches(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     labels = spark.read.parquet(str(tmp_path / "out"))
     assert {r.id: r.cache_hit for r in labels.collect()} == walk(requests, saves, 60)
+
+
+@pytest.mark.parametrize(("seed", "ttl", "lateness"), [(7, 600, 0), (8, 0, 200)])
+def test_labels_do_not_depend_on_files_and_triggers(spark, tmp_path, seed, ttl, lateness):
+    """Both sources come in files of their own, cut at other times; with lateness, neighbouring files also overlap."""
+    requests, saves = sample(seed, 300, 5000)
+    asked, kept = frames(spark, requests, saves)
+    start = 1704067200
+    streams = []
+    for name, table, column, cuts in (("asked", asked, "created_at", (0, 700, 2100, 5001)), ("kept", kept, "saved_at", (0, 3500, 5001))):
+        rows = table.withColumn("s", F.unix_seconds(F.col(column).cast("timestamp")) - start)
+        rows = rows.withColumn("file", F.col("s") + (F.pmod(F.xxhash64("s"), F.lit(lateness or 1)) if lateness else 0))
+        for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            top = 10**9 if i == len(cuts) - 2 else high
+            part = rows.filter((F.col("file") >= low) & (F.col("file") < top)).drop("s", "file")
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        streams.append(spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+    out, state = str(tmp_path / "labels"), str(tmp_path / "state")
+    query = stream_hit_labels(request_and_save_events(*streams), out, state, ttl, lateness=lateness)
+    query.awaitTermination()
+    early = {r.id: r.cache_hit for r in read_hit_labels(spark, out).collect()}
+    finish_hit_labels(spark, out, state, ttl)
+    labels = read_hit_labels(spark, out).collect()
+    want = walk(requests, saves, ttl)
+    assert {r.id: r.cache_hit for r in labels} == want and len(labels) == len(want)
+    assert 0 < len(early) < len(want) and all(want[k] == v for k, v in early.items())

@@ -55,15 +55,10 @@ def _nearest(df: DataFrame, value: str, ahead: bool) -> DataFrame:
     )
 
 
-def _instants(requests: DataFrame, saves: DataFrame, life: int, steps: _Steps) -> DataFrame:
+def _instants(events: DataFrame, life: int, steps: _Steps) -> DataFrame:
     """Distinct request seconds ``t`` with their first request and the last save before them."""
-    none = F.lit(None).cast("long")
-    asked = requests.select("post_id", epoch_second(F.col("created_at")).alias("at"), "id", none.alias("save"))
-    saved = epoch_second(F.col("saved_at"))
-    kept = saves.select("post_id", saved.alias("at"), none.alias("id"), saved.alias("save"))
     seconds = (
-        asked.unionByName(kept)
-        .groupBy("post_id", "at")
+        events.groupBy("post_id", "at")
         .agg(F.min("id").alias("id"), F.max("save").alias("save"))
         .withColumn("cell", F.floor(F.col("at") / life))
     )
@@ -90,21 +85,22 @@ def _links(instants: DataFrame, life: int) -> DataFrame:
     return same.select("post_id", F.col("source").alias("t"), F.col("near.t").alias("next"))
 
 
-def misses(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
-    """Ids of the requests that miss.
+def missed_seconds(events: DataFrame, ttl: int) -> DataFrame:
+    """``post_id, t, id``: seconds whose first request (``id``) misses.
 
-    The result reads two tables in the shared folder, as after a checkpoint; all earlier ones are gone.
+    ``events`` has a request's ``id`` or a save's second ``save`` at each ``post_id, at``. The result reads two
+    tables in the shared folder, as after a checkpoint; all earlier ones are gone.
     """
     # Without a time to live only saves end an entry, and the cells are merely days.
     life = int(ttl) + 1 if ttl else 86_400
-    first_tables, later_tables = _Steps(requests), _Steps(requests)
-    instants = first_tables.written(_instants(requests, saves, life, first_tables))
+    first_tables, later_tables = _Steps(events), _Steps(events)
+    instants = first_tables.written(_instants(events, life, first_tables))
     first_tables.drop_before_last()
     first = instants.groupBy("post_id", "segment").agg(F.min("t").alias("t")).select("post_id", "t")
     first = first.withColumn("reached", F.lit(True))
     keys = ["post_id", "t"]
     if not ttl:
-        return instants.join(first.select(keys), keys, "left_semi").select("id")
+        return instants.join(first.select(keys), keys, "left_semi").select("post_id", "t", "id")
     links = _links(instants, life)
     steps = instants.select(keys).join(links, keys, "left").join(first, keys, "left")
     steps = later_tables.written(steps.fillna(False, subset=["reached"]))
@@ -118,7 +114,16 @@ def misses(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
         merged = longer.unionByName(onward).groupBy(keys)
         steps = later_tables.written(merged.agg(F.max("next").alias("next"), F.bool_or("reached").alias("reached")))
         later_tables.drop_before_last()
-    return instants.join(steps.filter("reached").select(keys), keys, "left_semi").select("id")
+    return instants.join(steps.filter("reached").select(keys), keys, "left_semi").select("post_id", "t", "id")
+
+
+def misses(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
+    """Ids of the requests that miss."""
+    none = F.lit(None).cast("long")
+    asked = requests.select("post_id", epoch_second(F.col("created_at")).alias("at"), "id", none.alias("save"))
+    saved = epoch_second(F.col("saved_at"))
+    kept = saves.select("post_id", saved.alias("at"), none.alias("id"), saved.alias("save"))
+    return missed_seconds(asked.unionByName(kept), ttl).select("id")
 
 
 def cache_hit_labels(requests: DataFrame, saves: DataFrame, ttl: int) -> DataFrame:
