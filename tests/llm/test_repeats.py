@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -73,3 +74,33 @@ def test_kept_text_and_empty_table(spark):
     rows = {r["doc_id"]: r for r in shown(suffixes.remove_repeats(docs, length=10, keep="none"))}
     assert bytes(rows[1]["kept"]) == b"xxxxxy" and bytes(rows[2]["kept"]) == b"zzz" and rows[1]["starts"] == [5]
     assert shown(suffixes.remove_repeats(docs.limit(0), length=10)) == []
+
+
+def passage_words(rows, length):
+    """Words in runs of ``length`` words found elsewhere too, by looking at every run."""
+    texts = [(i, [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]) for i, t in rows]
+    seen = defaultdict(int)
+    for _, w in texts:
+        for s in range(len(w) - length + 1):
+            seen[tuple(w[s : s + length])] += 1
+    out = []
+    for i, w in texts:
+        inside = np.zeros(len(w), bool)
+        for s in range(len(w) - length + 1):
+            if seen[tuple(w[s : s + length])] > 1:
+                inside[s : s + length] = True
+        out.append((i, int(inside.sum())))
+    return sorted(out, key=str)
+
+
+def test_passages_shorter_than_the_removed_length(spark):
+    docs = awkward(spark)
+    passage = prose(55, 14)
+    more = [(100 + i, prose(200 + i, 30) + (" " + passage.upper() if i % 2 else "\n" + passage) + "\t" + prose(300 + i, 9), "en", "s", 1) for i in range(6)]
+    docs = docs.unionByName(awkward(spark, more + [(200, prose(400, 60), "en", "s", 1)]))
+    rows = [(r["doc_id"], r["text"]) for r in shown(docs)]
+    got = shown(suffixes.remove_repeats(docs, length=400, keep="none", passage=12))
+    want = passage_words(rows, 12)
+    assert sorted(((r["doc_id"], r["n_passage_words"]) for r in got), key=str) == want
+    assert {i for i, n in want if n and i is not None and i >= 100} == set(range(100, 106))
+    assert sorted(found(suffixes.remove_repeats(docs, length=400, keep="none")), key=str) == found(suffixes.remove_repeats(docs, length=400, keep="none", passage=12))

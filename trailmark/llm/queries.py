@@ -59,8 +59,8 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffixes.remove_repeats(_docs(spark, sf_dir), length=400, keep="none")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = suffixes.remove_repeats(_docs(spark, sf_dir), length=400, keep="none", passage=51)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,17 +13,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import Staging
-from trailmark.llm.words import _BASE, _INVERSE, U, _letters, mix, powers, utf8
+from trailmark.llm.words import _BASE, _INVERSE, U, _letters, mix, powers, utf8, words
 
 PART = 1 << 18  # window starts handled at once within one text
 
 
 def _prefix_sums(raw: np.ndarray, seed: int) -> np.ndarray:
+    """Sums over bytes, or over word hashes as they are."""
     out = np.zeros(len(raw) + 1, U)
-    np.cumsum(_letters(seed)[raw] * powers(_BASE, len(raw)), out=out[1:])
+    np.cumsum((_letters(seed)[raw] if raw.dtype == np.uint8 else raw) * powers(_BASE, len(raw)), out=out[1:])
     return out
 
 
+def _sequences(column: pa.Array, unit: str) -> Iterator[np.ndarray]:
+    """Each row's bytes, or its words' hashes."""
+    if unit == "words":
+        yield from (hashes for _, hashes, _, _ in words(column, "space"))
+        return
+    data, at = utf8(column)
+    for i in range(len(column)):
+        yield data[at[i] : at[i + 1]]
+
+
 def _hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of byte ranges, the same for equal strings wherever they stand."""
     return mix((sums[stop] - sums[start]) * powers(_INVERSE, len(sums))[start])
@@ -124,10 +136,20 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, staging: Staging, *, length: int = 400, keep: str = "first", id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    staging: Staging,
+    *,
+    length: int = 400,
+    keep: str = "first",
+    unit: str = "bytes",
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Per row of ``docs`` the maximal runs of bytes that lie in a string of ``length`` bytes found elsewhere.
 
+    With ``unit="words"`` texts are rows of words instead (runs of anything but 0x20 and 0x09-0x0D, A-Z lower-cased),
+    and all lengths and offsets count words; ``sha256`` is null then.
+
     Texts are UTF-8 bytes, null is empty; matches lie within one document each, which may be the same one, and
     may overlap. A byte counts if a window (a suffix cut after ``length`` bytes) over it has a longest previous
     factor of at least ``length`` (``keep="first"``: the first occurrence stays), or a longest previous or next
@@ -149,30 +171,29 @@ def repeated_spans(
     Columns: ``row`` (unique), ``id``, ``h``, ``n_bytes``, ``sha256`` (of the whole text), ``starts`` and ``stops`` (arrays
     of byte offsets), ``removed``. Equal rows are occurrences like others. Extra columns are not read.
     """
-    if keep not in ("first", "none"):
-        raise ValueError("keep must be first or none")
+    if keep not in ("first", "none") or unit not in ("bytes", "words"):
+        raise ValueError("keep must be first or none, unit bytes or words")
     gram = max(1, length * 5 // 8)
 
     def walk(batches):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            data, at = utf8(batch.column("text"))
-            found = [[] for _ in range(4)]
-            for i in range(batch.num_rows):
-                raw = data[at[i] : at[i + 1]]
+            found, sizes = [[] for _ in range(4)], []
+            for raw in _sequences(batch.column("text"), unit):
+                sizes.append(len(raw))
                 first, last, anchor = anchors(raw, length, gram)
                 for into, values in zip(found, (*_contexts(raw, first, last, anchor, length, gram), first, last)):
                     into.append(values.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + batch.num_rows)), batch.column("id"), batch.column("h"), batch.column("sha256"),
-                    pa.array(np.diff(at)), *(_lists(x, pa.int64()) for x in found),
+                    pa.array(sizes, pa.int64()), *(_lists(x, pa.int64()) for x in found),
                 ],
                 names=["row", "id", "h", "sha256", "n_bytes", "keys", "contexts", "first", "last"],
             )
             row += batch.num_rows
 
-    rows = _rows(docs, id_col, text_col).withColumn("sha256", F.sha2("text", 256))
+    rows = _rows(docs, id_col, text_col).withColumn("sha256", F.sha2("text", 256) if unit == "bytes" else F.lit(None).cast("string"))
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"row long, id {kind}, h long, sha256 string, n_bytes long, keys array<long>, contexts array<long>, first array<long>, last array<long>"
     runs = staging.keep(rows.mapInArrow(walk, shape), "runs")
@@ -195,14 +216,13 @@ def repeated_spans(
 
     def cut(batches):
         for batch in batches:
-            data, at = utf8(batch.column("text"))
             columns = [_arrays(batch.column(c)) for c in ("asked", "keys", "first", "last")]
             numbers, out = batch.column("row").to_numpy(), [[] for _ in range(4)]
-            for i, (places, gram_keys, first, last) in enumerate(zip(*columns)):
+            for i, (raw, places, gram_keys, first, last) in enumerate(zip(_sequences(batch.column("text"), unit), *columns)):
                 places = np.sort(places)
                 sizes = last[places] - first[places] + 1
                 starts = np.repeat(first[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                hashes = window_hashes(data[at[i] : at[i + 1]], starts, length)
+                hashes = window_hashes(raw, starts, length)
                 for into, values in zip(out, (np.full(len(starts), numbers[i]), np.repeat(gram_keys[places], sizes), hashes.view(np.int64), starts)):
                     into.append(values)
             flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
@@ -245,12 +265,22 @@ def repeated_spans(
     return spans
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, length: int = 400, keep: str = "first", passage: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Per row what is left of its text without the spans of ``repeated_spans``, as bytes.
 
     Columns: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans``, ``starts``, ``stops``, ``kept_sha256`` and ``kept`` (binary; null
     where nothing was removed, so that untouched texts need not move). Only partly removed texts are joined.
+
+    With ``passage``, ``n_passage_words`` counts the words that lie in a run of so many words found elsewhere too. Such
+    passages may be shorter than ``length`` bytes; they are reported and not removed.
     """
+    passages = None
+    if passage:
+        found = repeated_spans(docs, Staging(docs.sparkSession), length=passage, keep="none", unit="words", id_col=id_col, text_col=text_col)
+        # Equal rows have equal passages.
+        passages = found.where("removed > 0").select(F.col("id").alias("of"), F.col("h").alias("of_h"), F.col("removed").alias("n_passage_words")).dropDuplicates(["of", "of_h"])
     spans = repeated_spans(docs, Staging(docs.sparkSession), length=length, keep=keep, id_col=id_col, text_col=text_col)
     partly = spans.where("removed > 0 and removed < n_bytes").select("row", F.col("id").alias("its"), F.col("h").alias("its_h"), "starts", "stops")
     texts = _rows(docs, id_col, text_col)
@@ -272,8 +302,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", i
 
     left = found.mapInArrow(take, "row long, kept binary, kept_sha256 string")
     all_gone = (F.col("removed") > 0) & (F.col("removed") == F.col("n_bytes"))
-    return spans.join(left, "row", "left").select(
+    out = spans.join(left, "row", "left")
+    more = []
+    if passages is not None:
+        out = out.join(passages, out["id"].eqNullSafe(passages["of"]) & (out["h"] == passages["of_h"]), "left")
+        more.append(F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))
+    return out.select(
         F.col("id").alias(id_col), "n_bytes", F.col("removed").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "starts", "stops",
         F.when(F.col("removed") == 0, F.col("sha256")).when(all_gone, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(all_gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(all_gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), *more,
     )
