@@ -7,6 +7,7 @@ import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailmark.session import shared_folder
 
@@ -65,6 +66,25 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def may_match(rows: DataFrame, columns: list, keys: DataFrame, mark: str, words: int = 1 << 18) -> DataFrame:
+    """``rows`` with a boolean ``mark``: False only where no row of ``keys`` has the values of ``columns``.
+
+    The hashes of ``keys`` (its columns, in the same order) set bits in ``words`` numbers of 64 bits; that table is
+    broadcast and no larger whatever the input. Joins behind it then move few rows where few match; where all bits are
+    set they move all, and the result is the same. Nulls count as values.
+    """
+    def spots(*columns):
+        spot = F.pmod(F.xxhash64(*columns), F.lit(words * 64))
+        return F.floor(spot / 64).cast("long"), (spot % 64).cast("int")
+
+    word, bit, mask = fresh(rows, "_word", "_bit", "_mask")
+    a, b = spots(*keys.columns)
+    masks = keys.select(a.alias(word), b.alias(bit)).groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, `{bit}`))").alias(mask))
+    a, b = spots(*columns)
+    placed = rows.withColumn(word, a).withColumn(bit, b).join(F.broadcast(masks), word, "left")
+    return placed.withColumn(mark, F.coalesce(F.bit_get(mask, F.col(bit)) == 1, F.lit(False))).drop(word, bit, mask)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import Staging, fresh, partitions
+from trailmark.llm.common import Staging, fresh, may_match, partitions
 from trailmark.llm.graph import components
 from trailmark.llm.words import U, grams, mix, words
 
@@ -122,7 +122,8 @@ def identity(values: np.ndarray) -> tuple[int, int]:
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(cls, values) of the wanted classes from one of their documents; a repeated id's other texts are passed over."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("first")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = may_match(rows, ["id"], wanted.select("first"), "asked").where("asked").join(wanted, F.col("id").eqNullSafe(F.col("first")))
 
     def run(batches):
         for batch in batches:
@@ -291,9 +292,11 @@ def near_duplicates(
     rows = classes.select("cls", "sketch").mapInArrow(banded, "band long, cls long")
     rows = staging.keep(rows, "bands")
     buckets = rows.groupBy("band").agg(F.min("cls").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = staging.keep(buckets.select("band", "rep"), "buckets")
+    rows = may_match(rows, ["band"], buckets.select("band"), "shared").where("shared").select("band", "cls")
     members = rows.join(buckets, "band").where("cls <> rep").select("rep", "cls").distinct()
     members = staging.keep(members, "members")
-    staging.drop("bands")
+    staging.drop("bands", "buckets")
 
     # Step 3: every member against its bucket's first class.
     sizes = classes.select("cls", "n")
@@ -311,7 +314,8 @@ def near_duplicates(
     pairs = staging.keep(pairs.select("rep", "cls", "rep_n", "n", "rep_sketch", "sketch").mapInArrow(likely, "rep long, cls long, rep_n long, n long"), "pairs")
     names = classes.select("cls", "first", "k1", "k2")
     wanted = pairs.select("cls").union(pairs.select("rep")).distinct()
-    sets = staging.keep(_sets(docs, names.join(wanted, "cls"), id_col, text_col, width), "sets")
+    wanted = staging.keep(names.join(wanted, "cls"), "wanted")
+    sets = staging.keep(_sets(docs, wanted, id_col, text_col, width), "sets")
 
     def linked(batches):
         for batch in batches:
@@ -360,14 +364,15 @@ def near_duplicates(
     )
     possible = staging.keep(possible, "possible")
     more = possible.select("cls").distinct().join(sets, "cls", "left_anti")
-    more = staging.keep(_sets(docs, names.join(more, "cls"), id_col, text_col, width), "more-sets")
+    more = staging.keep(names.join(more, "cls"), "wanted")
+    more = staging.keep(_sets(docs, more, id_col, text_col, width), "more-sets")
     confirmed = (
         possible.join(sets.union(more), "cls").repartition(parts, *KEYS).sortWithinPartitions(*KEYS)
         .mapInArrow(lambda b: _confirmed(b, percent), "a long, b long")
     )
     links = staging.keep(links.union(confirmed), "all-links")
     comps = components(links, staging, "all").toDF("cls", "component")
-    staging.drop("bands", "members", "pairs", "sets", "more-sets", "possible", "links", "comps")
+    staging.drop("members", "wanted", "pairs", "sets", "more-sets", "possible", "links", "comps")
 
     whole = classes.select("cls", "first", "k1", "k2", "n").join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -384,14 +389,18 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One document of each group, all its columns: the one with the smallest id.
 
     A document is its id and text; where one that stays is repeated, one of its rows does. Only the keys of
-    what goes (and of what is repeated) are written and joined, so few duplicates cost no shuffle of texts.
+    what goes (and of what is repeated) are written, and only texts that may be among them are joined.
     """
     staging = Staging(docs.sparkSession)
-    its, hashed, kept, rows = fresh(docs, "_id", "_hash", "_kept", "_rows")
+    its, hashed, kept, rows, asked = fresh(docs, "_id", "_hash", "_kept", "_rows", "_asked")
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     found = found.groupBy(F.col(id_col).alias(its), F.col("text_hash").alias(hashed), F.col("kept").alias(kept)).agg(F.count(F.lit(1)).alias(rows))
     listed = staging.keep(found.where(~F.col(kept) | (F.col(rows) > 1)), "listed")
-    same = docs[id_col].eqNullSafe(F.col(its)) & F.xxhash64(docs[text_col]).eqNullSafe(F.col(hashed))
-    once = docs.join(listed, same, "left_anti")
-    again = docs.join(listed.where(kept), same, "left_semi").withColumn(hashed, F.xxhash64(text_col))
-    return once.unionByName(again.dropDuplicates([id_col, hashed]).drop(hashed))
+    marked = may_match(docs, [F.col(id_col)], listed.select(its), asked)
+    once = marked.where(~F.col(asked)).drop(asked)
+    marked = marked.where(asked).drop(asked).withColumn(hashed, F.xxhash64(text_col))
+    same = marked[id_col].eqNullSafe(F.col(its)) & (marked[hashed] == F.col(f"{hashed}_of"))
+    listed = listed.withColumnRenamed(hashed, f"{hashed}_of")
+    alone = marked.join(listed, same, "left_anti").drop(hashed)
+    again = marked.join(listed.where(kept), same, "left_semi").dropDuplicates([id_col, hashed]).drop(hashed)
+    return once.unionByName(alone).unionByName(again)
