@@ -120,11 +120,15 @@ def _count_words(batches):
 
 
 def _backoff(word: str, model: LanguageModel) -> list[int]:
-    """Rows for an unknown word: its known n-grams of the greatest length at which it has any."""
+    """Rows for an unknown word: its known n-grams of the greatest length at which it has any.
+
+    The blanks around a word say nothing by themselves, so a word of unknown letters is wholly unknown.
+    """
     padded = f" {word} "
     get = model.grams.get
     for n in range(min(model.longest, len(padded)), 0, -1):
-        found = [i for i in map(get, (padded[k : k + n] for k in range(len(padded) - n + 1))) if i is not None]
+        within = padded if n > 1 else word
+        found = [i for i in map(get, (within[k : k + n] for k in range(len(within) - n + 1))) if i is not None]
         if found:
             return found
     return [len(model.table) - 1]
