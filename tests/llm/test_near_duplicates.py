@@ -60,7 +60,7 @@ def edited(rng, words, share):
     return [rng.choice(WORDS) + str(rng.randrange(10**6)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("seed, sketch", [(0, {}), (1, {"registers": 512, "band": 7, "borrow": True})])
+@pytest.mark.parametrize("seed, sketch", [(0, {}), (1, {"registers": 512, "band": 7, "borrow": True}), (2, {"borrow": True})])
 def test_groups_around_the_threshold(spark, seed, sketch, monkeypatch):
     monkeypatch.setattr(H, "BLOCK", 16)  # several blocks a group
     rng = random.Random(seed)

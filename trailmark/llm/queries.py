@@ -37,7 +37,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(_docs(spark, sf_dir), width=2, percent=80).drop("text_hash")
+    return hyperminhash.near_duplicates(_docs(spark, sf_dir), width=2, percent=80, borrow=True).drop("text_hash")
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
