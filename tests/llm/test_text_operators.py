@@ -145,6 +145,52 @@ def test_licences_equal_sql(spark):
     assert licences.scan(rows, licences.public_licences(spark).limit(0)).count() == 0
 
 
+MIT_PARTS = (" The above copyright notice", " THE SOFTWARE IS PROVIDED")
+BSD_PARTS = (" 1. Redistributions", " 2. Redistributions", " 3. Neither", " THIS SOFTWARE IS PROVIDED")
+
+
+def in_paragraphs(body, starts):
+    for start in starts:
+        body = body.replace(start, "\n\n" + start.strip())
+    return body
+
+
+def test_licence_files_and_notices(spark):
+    """Usual licence files, licences of several paragraphs under other text, and notices in one line."""
+    body = {name: text for name, text in reversed(licences.LICENCES)}
+    mit, bsd3 = in_paragraphs(body["MIT"], MIT_PARTS), in_paragraphs(body["BSD-3-Clause"], BSD_PARTS)
+    assert mit.count("\n\n") == 2 and bsd3.count("\n\n") == 4
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit + "\n",
+        "The MIT License (MIT)\nCopyright (c) 2020 Some One\n\n" + mit.replace(". ", ".\n"),
+        "About\n\nThis program adds.\n\n" + bsd3 + "\n\nMore text",
+        "Copyright 2024 Acme Inc. Licensed under the MIT License.",
+        "intro\nCopyright (c) 2020 X, Y and J. Doe. " + body["MIT"] + "\nend",
+        "BSD 3-Clause \"New\" or \"Revised\" License\n\n(c) 1999, 2001 A. B. All rights reserved.\n\n" + bsd3,
+        "MIT License",
+        "MIT License\n\nCopyright (c) 2020 A\n\n" + mit.replace("free of charge", "for a fee"),
+        "Copyright 2024 Acme Inc. and others.\n" + body["ISC"],
+        mit + "\n\n" + mit,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in licences.scan(docs, licences.public_licences(spark)).collect())
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert got == sorted(con.sql(licences.oracle()).fetchall())
+    assert [r[:4] for r in got] == [
+        (0, "document", 0, "MIT"), (0, "paragraphs", 1, "MIT"),
+        (1, "document", 0, "MIT"), (1, "paragraphs", 1, "MIT"),
+        (2, "paragraphs", 2, "BSD-3-Clause"),
+        (3, "document", 0, "MIT"),
+        (4, "line", 1, "MIT"),
+        (5, "document", 0, "BSD-3-Clause"), (5, "paragraphs", 1, "BSD-3-Clause"),
+        (8, "document", 0, "ISC"), (8, "line", 1, "ISC"),
+        (9, "paragraphs", 0, "MIT"), (9, "paragraphs", 3, "MIT"),
+    ]
+    longer = licences.scan(docs, licences.public_licences(spark), runs=(2,))
+    assert longer.where("unit = 'paragraphs'").count() == 0
+
+
 # --- language --------------------------------------------------------------------------------
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held", langid.held_out())
