@@ -123,6 +123,25 @@ def test_long_texts_hash_alike_in_chunks(monkeypatch):
     assert ctph.fingerprint(data) == whole and ctph.fingerprint(b"") == "4::"
 
 
+def test_signatures_speak_for_the_whole_text(spark):
+    rng, rows = random.Random(12), []
+    texts = [prose(i, rng.randrange(1, 3000)) for i in range(120)]
+    lines = [prose(300 + i, 9) + "\n" for i in range(60)]
+    texts += [line * rng.randrange(200, 4000) for line in lines] + ["ab" * 50_000, "x" * 70_000]
+    for i, text in enumerate(texts):
+        block, pieces, double = ctph.fingerprint(text.encode()).split(":")
+        assert len(pieces) <= 64 and len(double) <= len(pieces)
+        tenth, quarter = len(text) // 10, len(text) // 4
+        rows.append((i, text, text[: len(text) - quarter] + prose(900 + i, quarter)[:quarter], text + text[:tenth]))
+    docs = spark.createDataFrame(rows, "i int, a string, b string, c string")
+    for c in "abc":
+        docs = ctph.fingerprints(docs, text_col=c, column=f"f{c}")
+    near = docs.select("i", ctph.likeness(F.col("fa"), F.col("fb")).alias("edited"), ctph.likeness(F.col("fa"), F.col("fc")).alias("longer")).toPandas()
+    repeated = near[(near.i >= 120) & (near.i < 180)]
+    # Of texts of one repeated line: none reads as all but the same when its last quarter is another text, and more of the line is alike.
+    assert repeated.edited.max() < 0.95 and repeated.longer.mean() > 0.8
+
+
 # --- licences --------------------------------------------------------------------------------
 def test_licences_equal_sql(spark):
     notice = "LICENCED under the MIT-Licence!\n"

@@ -62,31 +62,50 @@ def _pieces(data: np.ndarray, chunks, block: int) -> str:
     return ALPHABET[(found >> U(40)) & U(63)].tobytes().decode()
 
 
-def _fold(pieces: str, most: int) -> str:
-    """At most ``most`` characters: all pieces from there on are one, whose character mixes theirs."""
-    if len(pieces) <= most:
-        return pieces
-    rest = hashlib.blake2b(pieces[most - 1 :].encode(), digest_size=1).digest()[0] & 63
-    return pieces[: most - 1] + chr(ALPHABET[rest])
+def _paired(pieces: str) -> str:
+    """One character for each two neighbouring pieces; a last one alone stays as it is."""
+    codes = np.frombuffer(pieces.encode(), np.uint8).astype(U)
+    even = len(codes) // 2 * 2
+    joined = ALPHABET[(mix(codes[:even:2] << U(8) | codes[1:even:2]) >> U(40)) & U(63)]
+    return joined.tobytes().decode() + pieces[even:]
 
 
 def fingerprint(data: bytes) -> str:
     """``block:signature:signature at twice the block``; equal bytes have equal fingerprints.
 
-    The block size starts where pieces of that size would be 64 and halves while there are fewer than 32.
+    The block size starts where pieces of that size would be 64. It halves while there are fewer than 32 (and not
+    more than 64 at the half) and doubles while there are more than 64, so that a signature speaks for the whole
+    text. Where one block size has more than 64 pieces and the next fewer than 16, as in long texts of one repeated
+    line, whose triggers all go at once, neighbouring pieces are joined in pairs instead.
     """
     raw = np.frombuffer(data, np.uint8)
     block = SMALLEST
     while block * PIECES < len(raw):
         block *= 2
     chunks = list(_chunks(raw)) if len(raw) <= CHUNK else None
-    while True:
-        pieces = _pieces(raw, chunks or _chunks(raw), block)
-        if len(pieces) >= PIECES // 2 or block == SMALLEST:
+
+    def cut(size: int) -> str:
+        return _pieces(raw, chunks or _chunks(raw), size)
+
+    def joined(size: int, pieces: str) -> str:
+        while len(pieces) > PIECES:
+            size, pieces = 2 * size, _paired(pieces)
+        return f"{size}:{pieces}:{_paired(pieces)}"
+
+    pieces = cut(block)
+    while len(pieces) < PIECES // 2 and block > SMALLEST:
+        more = cut(block // 2)
+        if len(more) > PIECES:
+            if len(pieces) < PIECES // 4:
+                return joined(block // 2, more)
             break
-        block //= 2
-    double = _pieces(raw, chunks or _chunks(raw), 2 * block)
-    return f"{block}:{_fold(pieces, PIECES)}:{_fold(double, PIECES // 2)}"
+        block, pieces = block // 2, more
+    double = cut(2 * block)
+    while len(pieces) > PIECES:
+        if len(double) < PIECES // 4:
+            return joined(block, pieces)
+        block, pieces, double = 2 * block, double, cut(4 * block)
+    return f"{block}:{pieces}:{double}"
 
 
 def _alike(a: Column, b: Column) -> Column:
