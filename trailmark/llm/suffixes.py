@@ -1,4 +1,4 @@
-"""Longest-previous-factor spans: bytes covered by long strings that also start elsewhere."""
+"""Bytes covered by long strings that also start elsewhere, by anchored windows in place of longest-previous-factor arrays."""
 
 from __future__ import annotations
 
@@ -157,8 +157,8 @@ def repeated_spans(
     the previous and next smaller positions of a member are in its run, so what has to be known of a run is its
     size and its least position, by (id, row, byte).
 
-    Suffixes are brought into that order by anchors instead of one global sort. Each window's anchor is its
-    gram (5/8 of the length) of least hash; equal windows have equal anchors at equal offsets.
+    No suffix order and no such array is built: windows are grouped by anchors instead. Each window's anchor is
+    its gram (5/8 of the length) of least hash; equal windows have equal anchors at equal offsets.
 
     1. Neighbouring windows with one anchor form a run of about a hundred; one row each.
     2. A run whose anchor gram occurs once in the corpus has no repeated window. Grams are counted before the
