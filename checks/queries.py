@@ -723,9 +723,10 @@ def savings_report(s, d):
 
 
 # --- streams ---------------------------------------------------------------------------------
-def sample_stream(s, d, name):
-    reader = s.readStream.schema(b.table(s, d, name).schema).option("maxBytesPerTrigger", tables.STREAM_LIMIT)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+def sample_stream(s, d, name, **options):
+    """A stream of a table that is one file or a folder of files."""
+    # A stream's plain path must be a folder; a pattern may name either.
+    return s.readStream.schema(b.table(s, d, name).schema).options(**options).parquet(f"{d}/{name}.parque[t]")
 
 
 def event_stream(s, d):
@@ -798,7 +799,7 @@ def stream_cache_hit(s, d):
 
 @query
 def stream_cache_hit_state(s, d):
-    """The form with one number per post in the state store; here a trigger holds all rows."""
+    """The form with one number per post in the state store; without a limit, one trigger holds all rows."""
     out = shared_folder(s)
     pages = sample_stream(s, d, "pages")
     saves = pages.select((F.col("page_id") + 1).alias("post_id"), b.post_modified().alias("saved_at"))

@@ -1,7 +1,11 @@
 """Streams over out-of-order input equal the batch result."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from trailmark import bindings as b
 from trailmark.operators import requests, traffic
 from trailmark.sources import tables
@@ -65,3 +69,21 @@ def test_refresh_stream_converts_changed_posts_only(spark, tmp_path):
     before = {r.post_id: r.markdown for r in b.markdown_store(spark, SF).collect()}
     assert {k for k in rows if rows[k] != before.get(k)} == {2, 3}
     assert rows[2].startswith("# ") and "> Source: " in rows[2]
+
+
+def foldered(spark, tmp_path):
+    """The sample tables with events and pages as folders of files, as large tables come."""
+    out = tmp_path / "tables"
+    out.mkdir()
+    for name in os.listdir(SF):
+        if name in ("events.parquet", "pages.parquet"):
+            spark.read.parquet(f"{SF}/{name}").repartition(3).write.parquet(str(out / name))
+        else:
+            os.symlink(f"{SF}/{name}", out / name)
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["stream_cache_hit_state"])
+def test_sample_streams_read_tables_that_are_folders(spark, tmp_path, name):
+    whole, parts = (QUERIES[name](spark, d) for d in (SF, foldered(spark, tmp_path)))
+    assert whole.count() == parts.count() > 0 and parts.exceptAll(whole).count() == 0
