@@ -821,7 +821,7 @@ def stream_cache_hit_state(s, d):
 def stream_markdown_refresh(s, d):
     out = shared_folder(s)
     tables.write_store(s, b.markdown_store(s, d), f"{out}/store", 8)
-    pages = sample_stream(s, d, "pages")
+    pages = sample_stream(s, d, "pages", maxBytesPerTrigger=tables.STREAM_LIMIT)
     saves = pages.select((F.col("page_id") + 1).alias("post_id"))
     jobs.stream_markdown_refresh(
         saves, lambda: b.posts(s, d), b.authors(s, d), f"{out}/store", f"{out}/state", as_of=AS_OF, buckets=8

@@ -83,7 +83,7 @@ def foldered(spark, tmp_path):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["stream_cache_hit_state"])
+@pytest.mark.parametrize("name", ["stream_cache_hit_state", "stream_markdown_refresh"])
 def test_sample_streams_read_tables_that_are_folders(spark, tmp_path, name):
     whole, parts = (QUERIES[name](spark, d) for d in (SF, foldered(spark, tmp_path)))
     assert whole.count() == parts.count() > 0 and parts.exceptAll(whole).count() == 0
