@@ -733,12 +733,16 @@ def event_stream(s, d):
     return b.as_access_events(sample_stream(s, d, "events"))
 
 
+def stream_files(s):
+    """Files a trigger takes in: each is read by one task, so one file would leave all other cores idle."""
+    return s.sparkContext.defaultParallelism
+
+
 def scattered_event_stream(s, d, out):
-    """The events in four files and four triggers, each of which jumps back in time."""
-    events = b.table(s, d, "events")
-    part = F.pmod("event_id", F.lit(4)).alias("part")
-    events.select("*", part).repartition(4, "part").write.partitionBy("part").parquet(f"{out}/events")
-    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events")
+    """The events in four triggers, each of which jumps back in time, as every file holds all times."""
+    events, files = b.table(s, d, "events"), stream_files(s)
+    events.repartition(4 * files, "event_id").write.parquet(f"{out}/events")
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/events")
     return b.as_access_events(stream)
 
 

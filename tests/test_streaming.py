@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from checks.queries import QUERIES
 from trailmark import bindings as b
 from trailmark.operators import requests, traffic
@@ -87,3 +88,11 @@ def foldered(spark, tmp_path):
 def test_sample_streams_read_tables_that_are_folders(spark, tmp_path, name):
     whole, parts = (QUERIES[name](spark, d) for d in (SF, foldered(spark, tmp_path)))
     assert whole.count() == parts.count() > 0 and parts.exceptAll(whole).count() == 0
+
+
+def test_a_trigger_of_scattered_events_has_files_for_all_cores(spark, tmp_path):
+    queries.scattered_event_stream(spark, SF, str(tmp_path))
+    files = spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "events").glob("*.parquet"))) == 4 * files
+    times = spark.read.parquet(str(tmp_path / "events")).groupBy(F.input_file_name()).agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    assert times.agg(F.max("a") < F.min("z")).first()[0]
