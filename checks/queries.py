@@ -776,27 +776,29 @@ def cache_hit_labels(s, d):
     return labelled.select("id", "post_id", "cache_hit")
 
 
-def stream_in_time_order(s, rows, at, path, files=4):
-    """A stream of ``rows`` in files that follow one another in time, one file a trigger."""
+def parts_in_time_order(s, rows, at, key, parts=4):
+    """``rows`` in parts that follow one another in time, each in files for all cores."""
     second = clock.epoch_second(at).cast("double")
-    borders = rows.select(second.alias("at")).approxQuantile("at", [i / files for i in range(1, files)], 0.01)
-    part = sum(((second >= x).cast("int") for x in borders), F.lit(0))
-    for i in range(files):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    borders = rows.select(second.alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)
+    edges = [float("-inf"), *borders, float("inf")]
+    return [rows.filter((second >= low) & (second < high)).repartition(stream_files(s), key) for low, high in zip(edges, edges[1:])]
 
 
 @query
 def stream_cache_hit(s, d):
     out = shared_folder(s)
-    # Files of both sources are cut at times of their own, so neither source's rows come complete.
-    events = b.table(s, d, "events")
-    events = stream_in_time_order(s, events, clock.to_second(F.col("ts")), f"{out}/events")
-    pages = b.table(s, d, "pages")
-    pages = stream_in_time_order(s, pages, b.post_modified(), f"{out}/pages")
-    saves = pages.select((F.col("page_id") + 1).alias("post_id"), b.post_modified().alias("saved_at"))
-    rows = hit_state.request_and_save_events(served_requests(b.as_access_events(events)), saves)
-    hit_labels.stream_hit_labels(rows, f"{out}/labels", f"{out}/state", TTL).awaitTermination()
+    events, saves = b.table(s, d, "events"), b.post_saves(s, d)
+    # Both sources are cut at times of their own, so neither source's rows come complete. Each part is there as a whole
+    # before the stream goes on from its checkpoint: a trigger that ended inside a part would take later files for late.
+    asked = parts_in_time_order(s, events, clock.to_second(F.col("ts")), "event_id")
+    saved = parts_in_time_order(s, saves, F.col("saved_at"), "post_id")
+    for some_events, some_saves in zip(asked, saved):
+        some_events.write.mode("append").parquet(f"{out}/events")
+        some_saves.write.mode("append").parquet(f"{out}/saves")
+        requests_so_far = served_requests(b.as_access_events(s.readStream.schema(events.schema).parquet(f"{out}/events")))
+        saves_so_far = s.readStream.schema(saves.schema).parquet(f"{out}/saves")
+        rows = hit_state.request_and_save_events(requests_so_far, saves_so_far)
+        hit_labels.stream_hit_labels(rows, f"{out}/labels", f"{out}/state", TTL).awaitTermination()
     hit_labels.finish_hit_labels(s, f"{out}/labels", f"{out}/state", TTL)
     return hit_labels.read_hit_labels(s, f"{out}/labels").select("id", "post_id", "cache_hit")
 

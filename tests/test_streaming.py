@@ -96,3 +96,11 @@ def test_a_trigger_of_scattered_events_has_files_for_all_cores(spark, tmp_path):
     assert len(list((tmp_path / "events").glob("*.parquet"))) == 4 * files
     times = spark.read.parquet(str(tmp_path / "events")).groupBy(F.input_file_name()).agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
     assert times.agg(F.max("a") < F.min("z")).first()[0]
+
+
+def test_parts_in_time_order_are_whole_and_have_files_for_all_cores(spark):
+    events = b.access_events(spark, SF)
+    parts = queries.parts_in_time_order(spark, events, F.col("created_at"), "id")
+    assert all(p.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism for p in parts)
+    spans = [p.agg(F.min("created_at"), F.max("created_at"), F.count("id")).first() for p in parts]
+    assert sum(x[2] for x in spans) == events.count() and all(a[1] < z[0] for a, z in zip(spans, spans[1:]))
