@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline as P
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tests.llm.helpers import awkward, shown
 from tests.llm.test_near_duplicates import brute
 from tokenizers import Tokenizer
@@ -60,3 +62,16 @@ def test_run_and_awkward_rows(spark, tmp_path):
     awkward(spark).limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(f"{empty}/benchmark.parquet")
     assert P.run(spark, empty).count() == 0
+
+
+def test_tables_are_written_from_small_arrow_batches(spark):
+    from trailmark.llm.common import WRITING, Staging
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = {key: spark.conf.get(key, None) for key in WRITING}
+    kept = Staging(spark).keep(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "sizes")
+    assert kept.agg(F.max("n"), F.sum("n")).first() == (1000, 5000)
+    assert {key: spark.conf.get(key, None) for key in WRITING} == before
