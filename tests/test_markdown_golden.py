@@ -121,3 +121,14 @@ def test_no_three_newlines_on_pages(spark):
 
     docs = html_to_markdown(b.posts(spark, "/root/testdata/sf0.01", whole_page=True))
     assert docs.filter("markdown LIKE '%\n\n\n%' OR error IS NOT NULL OR markdown = ''").count() == 0
+
+
+def test_pages_are_converted_a_few_at_a_time_from_arrow():
+    import pyarrow as pa
+
+    from trailmark.operators.markdown import PAGES, _folder
+
+    convert = _folder(False).func
+    found = convert(pa.array(["<p>a</p>"] * (2 * PAGES + 1)))
+    assert isinstance(found, pa.StructArray) and len(found) == 2 * PAGES + 1
+    assert {x["markdown"].strip() for x in found.to_pylist()} == {"a"} and len(convert(pa.array([], pa.string()))) == 0

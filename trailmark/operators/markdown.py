@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,22 +20,28 @@ from trailmark.operators.requests import ColumnHook
 cloudpickle.register_pickle_by_value(html_fold)
 
 _RESULT = "markdown string, error string"
+PAGES = 200  # that are Python strings at once
 
 
 def _folder(drop_raw_text: bool):
     fold = html_fold.fold
 
-    @F.pandas_udf(_RESULT)
-    def convert(html: pd.Series) -> pd.DataFrame:
-        done, errors = [], []
-        for source in html:
-            try:
-                done.append(fold(source, drop_raw_text) if source else "")
-                errors.append(None)
-            except Exception as failure:
-                done.append(None)
-                errors.append(f"{type(failure).__name__}: {failure}")
-        return pd.DataFrame({"markdown": done, "error": errors}, dtype=object)
+    # Arrow arrays, a few pages at a time: as pandas series a batch would be there twice more as Python strings.
+    @F.arrow_udf(_RESULT)
+    def convert(html: pa.Array) -> pa.Array:
+        parts = []
+        for start in range(0, max(len(html), 1), PAGES):  # an empty batch gives an empty array
+            done, errors = [], []
+            for source in html.slice(start, PAGES).to_pylist():
+                try:
+                    done.append(fold(source, drop_raw_text) if source else "")
+                    errors.append(None)
+                except Exception as failure:
+                    done.append(None)
+                    errors.append(f"{type(failure).__name__}: {failure}")
+            columns = [pa.array(done, pa.string()), pa.array(errors, pa.string())]
+            parts.append(pa.StructArray.from_arrays(columns, names=["markdown", "error"]))
+        return pa.concat_arrays(parts)
 
     return convert
 
