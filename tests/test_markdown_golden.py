@@ -123,7 +123,7 @@ def test_no_three_newlines_on_pages(spark):
     assert docs.filter("markdown LIKE '%\n\n\n%' OR error IS NOT NULL OR markdown = ''").count() == 0
 
 
-def test_pages_are_converted_a_few_at_a_time_from_arrow():
+def test_pages_are_converted_a_few_at_a_time_from_arrow(spark):
     import pyarrow as pa
 
     from trailmark.operators.markdown import PAGES, _folder
