@@ -140,13 +140,29 @@ def classify(
     Works on batch and streaming frames alike. Both kinds of row come from one pass with a
     conditional, since a request is either served or a candidate for ``unknown``.
     """
+    return log_rows(detect_kept(events, settings, bots, unknown_tokens, serve_override, allow), salt, site_root, keep)
+
+
+def detect_kept(
+    events: DataFrame,
+    settings: Settings = Settings(enable_logging=True),
+    bots: Sequence[str] | None = None,
+    unknown_tokens: Sequence[str] = UNKNOWN_TOKENS,
+    serve_override: ColumnHook | None = None,
+    allow: Column | None = None,
+) -> DataFrame:
+    """``detect`` for those requests only that become log rows."""
     bots = bot_tokens(settings) if bots is None else list(bots)
     kept = log_gate(events, settings, allow).filter(
         kept_requests(settings, bots, unknown_tokens, serve_override)
     )
-    seen = detect(
+    return detect(
         kept, settings, bots=bots, unknown_tokens=unknown_tokens, serve_override=serve_override
     )
+
+
+def log_rows(seen: DataFrame, salt: str, site_root: str = "", keep: Sequence[str] = ()) -> DataFrame:
+    """Log rows of what ``detect_kept`` found."""
     served = F.col("served")
     context = seen.select(
         "id",

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from trailmark.config import Settings
 from trailmark.operators.cachehits import cache_hit_labels
-from trailmark.operators.requests import classify, detect, servable_requests, with_markdown_bytes
+from trailmark.operators.requests import detect_kept, log_rows, with_markdown_bytes
+from trailmark.session import shared_folder
+
+# What is left to be known of a request once it is detected.
+_SEEN = "id post_id created_at uri user_agent remote_addr payload_bytes cache_hit is_md bot_token served".split()
 
 
 def request_log(
@@ -25,10 +29,18 @@ def request_log(
     A request to be served counts if it hits one of ``servable(id)``; its hit flag follows from the
     requests and ``saves`` before it and its size is that of ``documents(post_id, markdown)``. Bot-like
     requests on no list are logged as unknown, whatever they hit. Only ids and sizes of posts travel.
+
+    Detection is the costly part: it runs once, for the rows to be logged, into a table in the shared folder, which stays
+    behind the result. A request on several rows is labelled on each of them; a served one without an id is left out.
     """
-    served = servable_requests(events, servable, settings, **hooks)
-    labels = cache_hit_labels(served.select("id", "post_id", "created_at"), saves, settings.cache_ttl)
-    labelled = with_markdown_bytes(served.select(events.columns), documents).drop("cache_hit")
-    labelled = labelled.join(labels.select("id", "cache_hit"), "id").select(events.columns)
-    others = detect(events, settings, **hooks).filter(~F.col("served")).select(events.columns)
-    return classify(labelled.unionByName(others), settings, salt=salt, **hooks)
+    seen = detect_kept(events, settings, **hooks).select(_SEEN)
+    if not settings.enable_logging:
+        return log_rows(seen, salt)
+    path = shared_folder(events.sparkSession)
+    seen.write.parquet(path)
+    seen = events.sparkSession.read.schema(seen.schema).parquet(path)
+    ids = servable.select(F.col("id").alias("post_id"))
+    served = seen.filter("served AND post_id > 0 AND id IS NOT NULL").join(ids, "post_id", "left_semi")
+    labelled = cache_hit_labels(served, saves, settings.cache_ttl)
+    sized = with_markdown_bytes(labelled, documents)
+    return log_rows(sized.select(_SEEN).unionByName(seen.filter(~F.col("served"))), salt)
