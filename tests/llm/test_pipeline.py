@@ -75,3 +75,21 @@ def test_tables_are_written_from_small_arrow_batches(spark):
     kept = Staging(spark).keep(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "sizes")
     assert kept.agg(F.max("n"), F.sum("n")).first() == (1000, 5000)
     assert {key: spark.conf.get(key, None) for key in WRITING} == before
+
+
+def test_a_stage_is_written_by_its_caller_from_small_arrow_batches(spark):
+    from trailmark.llm.common import WRITING
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = {key: spark.conf.get(key, None) for key in WRITING}
+    try:
+        for _, stage in P.STAGES[3:]:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            assert spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").agg(F.max("n"), F.sum("n")).first() == (1000, 5000)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
