@@ -91,6 +91,25 @@ def test_short_texts_with_borrowed_registers(spark):
     assert found(H.near_duplicates(docs, width=2, registers=512, band=7, borrow=True)) == brute(rows, 2, 80)
 
 
+def test_near_copies_have_few_leaders(spark, monkeypatch):
+    """Copies of one text with random edits meet in many buckets; nearly all of those have the same leader."""
+    rng = random.Random(8)
+    base = prose(91, 200).split()
+    rows = list(enumerate(" ".join(edited(rng, base, rng.choice((0.01, 0.02, 0.03)))) for _ in range(300)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, keep = {}, H.Staging.keep
+
+    def counted(self, frame, name):
+        table = keep(self, frame, name)
+        if name in ("members", "possible"):
+            made[name] = table.count()
+        return table
+
+    monkeypatch.setattr(H.Staging, "keep", counted)
+    assert found(H.near_duplicates(docs, width=5, registers=512, band=7, borrow=True)) == brute(rows, 5, 80)
+    assert made["members"] < 8 * len(rows) and made["possible"] < 8 * len(rows), made
+
+
 def test_borrowed_registers_agree_as_the_sets_do():
     rng = np.random.default_rng(2)
     values = lambda n: rng.permutation(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(U) * U(2))

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import Staging, fresh, may_match, partitions
@@ -260,9 +260,10 @@ def near_duplicates(
        42 bands three times in a million, one at 0.85 twice in 10^9. With ``borrow``, empty registers borrow filled ones
        for banding (not for the estimate), so that short texts with one line in common don't meet in bands that are
        empty otherwise; with 512 and 7 a pair at 0.8 shares none of 73 bands about twice in a million.
-    3. In each band's bucket all members are compared with the bucket's first class only, which is linear:
-       first by the collision-corrected estimate, then by full sets. Components follow from these links.
-    4. Members that share a first class, are of like size and still in different components are compared with
+    3. Each band's bucket is led by its class that meets most others over all bands. All members are compared with
+       their leader only, which is linear: first by the collision-corrected estimate, then by full sets. Components
+       follow from these links.
+    4. Members that share a leader, are of like size and still in different components are compared with
        one another in blocks of about 512 classes, without rows for pairs: sketches rule out, full sets
        confirm. Blocks inside the largest component of a group are left out, as nothing can change there.
 
@@ -291,14 +292,18 @@ def near_duplicates(
 
     rows = classes.select("cls", "sketch").mapInArrow(banded, "band long, cls long")
     rows = staging.keep(rows, "bands")
-    buckets = rows.groupBy("band").agg(F.min("cls").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = staging.keep(buckets.select("band", "rep"), "buckets")
+    buckets = staging.keep(rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     rows = may_match(rows, ["band"], buckets.select("band"), "shared").where("shared").select("band", "cls")
-    members = rows.join(buckets, "band").where("cls <> rep").select("rep", "cls").distinct()
+    # A leader is the class that meets most others over all its bands: near copies of one text then have one leader in
+    # nearly all buckets, not one for each of the least classes.
+    met = F.sum("size").over(Window.partitionBy("cls"))
+    shared = staging.keep(rows.join(buckets, "band").select("band", "cls", met.alias("met")), "shared")
+    leaders = shared.groupBy("band").agg(F.max(F.struct("met", "cls")).alias("top")).select("band", F.col("top.cls").alias("rep"))
+    members = shared.join(leaders, "band").where("cls <> rep").select("rep", "cls").distinct()
     members = staging.keep(members, "members")
-    staging.drop("bands", "buckets")
+    staging.drop("bands", "buckets", "shared")
 
-    # Step 3: every member against its bucket's first class.
+    # Step 3: every member against its bucket's leader.
     sizes = classes.select("cls", "n")
     pairs = members.join(sizes.toDF("rep", "rep_n"), "rep").join(sizes, "cls")
     pairs = pairs.where(F.lit(100) * F.least("n", "rep_n") >= F.lit(percent) * F.greatest("n", "rep_n"))
