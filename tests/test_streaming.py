@@ -57,6 +57,23 @@ def test_daily_hits_stream(spark, tmp_path):
     assert rollup.count() == batch.count() and rollup.select(batch.columns).exceptAll(batch).count() == 0
 
 
+def test_streams_bound_generated_methods_in_any_session(spark, tmp_path, monkeypatch):
+    """A session at Spark's own default would not compile the classification of a stream."""
+    key, seen, merge, write = "spark.sql.codegen.hugeMethodLimit", [], jobs.merge_daily_hits, jobs.write_log_batch
+    monkeypatch.setattr(jobs, "merge_daily_hits", lambda rows, *a: (seen.append(rows.sparkSession.conf.get(key)), merge(rows, *a)))
+    monkeypatch.setattr(jobs, "write_log_batch", lambda rows, *a: (seen.append(rows.sparkSession.conf.get(key)), write(rows, *a)))
+    events = b.as_access_events(queries.sample_stream(spark, SF, "events"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "65535")
+    try:
+        log = requests.classify(events, b.LOGGING, salt=b.SALT)
+        jobs.stream_daily_hits(log, str(tmp_path / "daily"), str(tmp_path / "s0")).awaitTermination()
+        jobs.stream_classify(events, str(tmp_path / "log"), str(tmp_path / "s1"), b.LOGGING, salt=b.SALT).awaitTermination()
+        assert seen == ["8000", "8000"] and spark.conf.get(key) == "65535"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_refresh_stream_converts_changed_posts_only(spark, tmp_path):
     store = str(tmp_path / "store")
     tables.write_store(spark, b.markdown_store(spark, SF), store, 4)

@@ -14,6 +14,7 @@ from trailmark.operators.markdown import stored
 from trailmark.operators.requests import classify
 from trailmark.operators.traffic import named_bot_rows
 from trailmark.plans.corpus import markdown_documents
+from trailmark.session import short_methods
 from trailmark.sources.tables import merge_daily_hits, write_log_batch, write_store
 
 
@@ -46,12 +47,9 @@ def stream_classify(
             if logged is not None:
                 kept.unpersist()
 
-    return (
-        rows.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with short_methods(events.sparkSession):
+        return writer.start()
 
 
 def daily_hits(log: DataFrame, lateness: str | None = None) -> DataFrame:
@@ -80,14 +78,10 @@ def stream_daily_hits(log: DataFrame, path: str, checkpoint: str, lateness: str
         merge_daily_hits(changed, path)
         changed.unpersist()
 
-    return (
-        daily_hits(log, lateness)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    counts = daily_hits(log, lateness).writeStream.outputMode("update").foreachBatch(write)
+    writer = counts.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with short_methods(log.sparkSession):
+        return writer.start()
 
 
 def stream_markdown_refresh(
