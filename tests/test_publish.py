@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trailmark import bindings as b
 from trailmark.config import Settings
 from trailmark.functions import headers
-from trailmark.operators import botlist, posts, publish
+from trailmark.operators import botlist, markdown, posts, publish
 from trailmark.plans import corpus
 
 SF = "/root/testdata/sf0.01"
@@ -227,3 +227,16 @@ def test_stored_markdown_older_than_its_post_is_built_again(spark):
     rows = corpus.bundle_rows(listed, fresh, b.authors(spark, SF), b.AS_OF)
     assert {r.id for r in rows.collect() if not r.built} == {one.id}
     assert corpus.built_for_store(rows, b.AS_OF).count() == listed.count() - 1
+
+
+def test_conversion_bounds_the_arrow_batches_of_any_session(spark):
+    keys = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], "10000")
+    try:
+        rows = markdown.html_to_markdown(spark.range(3000).selectExpr("id", "concat('<p>', id, '</p>') AS post_content"))
+        assert [spark.conf.get(k) for k in keys] == ["1000", str(8 << 20)]
+        assert rows.filter("markdown = CAST(id AS STRING)").count() == 3000
+    finally:
+        for k, value in zip(keys, before):
+            spark.conf.set(k, value)
