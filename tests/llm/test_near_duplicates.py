@@ -150,3 +150,62 @@ def test_deduplicate_keeps_one_of_each_group(spark):
 def test_empty_table(spark):
     empty = awkward(spark).limit(0)
     assert shown(H.near_duplicates(empty)) == [] and shown(H.deduplicate(empty)) == []
+
+
+@pytest.fixture
+def wide(spark):
+    """A session with many shuffle partitions that AQE doesn't join up again."""
+    new = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in new}
+    for key, value in new.items():
+        spark.conf.set(key, value)
+    yield spark
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def tasks(spark, group):
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s)))
+
+
+def test_components_take_two_shuffles_a_round(wide):
+    rng = random.Random(9)
+    links = [(0, i) for i in range(1, 200)] + [(i, 5) for i in range(200, 260)] + [(i, i + 1) for i in range(1000, 1040)]
+    links += [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(150)] + [(3000, 3000)]
+    links = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in links + links[:50]]
+    rng.shuffle(links)
+    parent = {x: x for a, b in links if a != b for x in (a, b)}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    staging, made = H.Staging(wide), []
+    keep = staging.keep
+    staging.keep = lambda frame, name: (made.append(name), keep(frame, name))[1]
+    wide.sparkContext.setJobGroup("components", "")
+    found = H.components(wide.createDataFrame(links, "a long, b long").coalesce(4), staging, "test")
+    wide.sparkContext.setJobGroup("", "")
+    found = found[0] if isinstance(found, tuple) else found
+    assert sorted(map(tuple, found.collect())) == sorted((x, find(x)) for x in parent)
+    assert tasks(wide, "components") < 170 * len(made)
+
+
+def test_near_duplicates_on_many_partitions(wide):
+    """What a shuffle costs by its partitions alone is paid few times."""
+    rng = random.Random(10)
+    base = prose(92, 150).split()
+    rows = list(enumerate([" ".join(edited(rng, base, rng.choice((0.0, 0.02, 0.06)))) for _ in range(80)] + [prose(600 + i, 80) for i in range(40)]))
+    docs = wide.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+    wide.sparkContext.setJobGroup("near", "")
+    got = found(H.near_duplicates(docs, width=2))
+    wide.sparkContext.setJobGroup("", "")
+    assert got == brute(rows, 2, 80)
+    assert tasks(wide, "near") < 2000

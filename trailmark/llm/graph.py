@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import Staging
 
 
-def components(links: DataFrame, staging: Staging, name: str) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
+def components(links: DataFrame, staging: Staging, name: str) -> tuple[DataFrame, str]:
+    """(node, component) for every node of ``links`` (a, b), and the staged table behind it; the component is its
+    smallest node.
 
     Alternates large stars (larger neighbours move to the smallest neighbour) and small stars (smaller ones
-    do) until the links are stars. Minima are aggregated before the shuffle and joined back, so a hub of any
-    degree is a skewed join and never one task's list. Each round is a written table.
+    do) until the links are stars. A node's links meet sorted, in a window that spills, so each of the two is one
+    shuffle, and a hub of any degree is never one task's list. Links never get more. A large star also sees
+    whether it was given stars: where a node has a smaller neighbour, that is its only one. Each round is a
+    written table.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = staging.keep(edges, f"{name}-0")
+    around = Window.partitionBy("u").orderBy("v")
+
+    def starred(edges: DataFrame) -> DataFrame:
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        rows = both.select("u", "v", F.first("v").over(around).alias("least"), F.lag("v").over(around).alias("before"))
+        rows = rows.where("before is null or before <> v")
+        rows = rows.withColumn("open", F.expr("least < u and v <> least")).where("v > u or open")
+        return rows.select("u", "v", F.least("least", "u").alias("m"), "open", F.col("before").isNull().alias("leads"))
+
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     step = 0
-    while True:
-        both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    stars = staging.keep(starred(edges), f"{name}-0")
+    while not stars.where("open").isEmpty():
+        moved = stars.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = moved.select("u", "v", F.first("v").over(around).alias("m"))
+        edges = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         step += 1
-        after = staging.keep(small.select("e.*").where("u <> v").distinct(), f"{name}-{step}")
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
+        stars = staging.keep(starred(edges), f"{name}-{step}")
         staging.drop(f"{name}-{step - 1}")
-        edges = after
-        if not changed:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        edges.select("v", "v").distinct()
-    )
+    # A star's first row also names its middle.
+    nodes = F.explode(F.when(F.col("leads"), F.array("v", "u")).otherwise(F.array("v")))
+    return stars.select(nodes.alias("node"), F.col("u").alias("component")), f"{name}-{step}"

@@ -202,12 +202,12 @@ def _estimated(batches, percent: int, registers: int):
 
 
 def _confirmed(batches, percent: int, tokens: int = 1 << 20):
-    """Links between components of each block pair, by the full sets: one for each row and other component.
+    """Links between components of each block pair, by the full sets, as pairs of components.
 
     The right side is looked at in parts of about ``tokens`` shingles, which bounds the work memory.
     """
     for table in _runs(batches, KEYS):
-        block, comp, n, home, cls = (table.column(c).to_numpy() for c in ("block", "comp", "n", "home", "cls"))
+        block, comp, n, home = (table.column(c).to_numpy() for c in ("block", "comp", "n", "home"))
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         values = [np.frombuffer(x.as_buffer(), U) for x in table.column("values").chunk(0)]
@@ -229,10 +229,11 @@ def _confirmed(batches, percent: int, tokens: int = 1 << 20):
                 common = np.add.reduceat(mark[index], starts, dtype=np.int64)
                 mark[at] = False
                 for j in those[open_ & _similar(common, n[i], n[those], percent)]:
-                    if (int(i), int(comp[j])) not in found:
-                        found.add((int(i), int(comp[j])))
-                        a.append(int(cls[i]))
-                        b.append(int(cls[j]))
+                    pair = (int(comp[i]), int(comp[j]))
+                    if pair not in found:
+                        found.add(pair)
+                        a.append(pair[0])
+                        b.append(pair[1])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -296,17 +297,18 @@ def near_duplicates(
     rows = may_match(rows, ["band"], buckets.select("band"), "shared").where("shared").select("band", "cls")
     # A leader is the class that meets most others over all its bands: near copies of one text then have one leader in
     # nearly all buckets, not one for each of the least classes.
+    # Set sizes join where the rows meet by class anyway, and go along from there.
     met = F.sum("size").over(Window.partitionBy("cls"))
-    shared = staging.keep(rows.join(buckets, "band").select("band", "cls", met.alias("met")), "shared")
-    leaders = shared.groupBy("band").agg(F.max(F.struct("met", "cls")).alias("top")).select("band", F.col("top.cls").alias("rep"))
-    members = shared.join(leaders, "band").where("cls <> rep").select("rep", "cls").distinct()
+    shared = rows.join(buckets, "band").select("band", "cls", met.alias("met")).join(classes.select("cls", "n"), "cls")
+    shared = staging.keep(shared, "shared")
+    leaders = shared.groupBy("band").agg(F.max(F.struct("met", "cls", "n")).alias("top"))
+    leaders = leaders.select("band", F.col("top.cls").alias("rep"), F.col("top.n").alias("rep_n"))
+    members = shared.join(leaders, "band").where("cls <> rep").select("rep", "cls", "rep_n", "n").distinct()
     members = staging.keep(members, "members")
     staging.drop("bands", "buckets", "shared")
 
     # Step 3: every member against its bucket's leader.
-    sizes = classes.select("cls", "n")
-    pairs = members.join(sizes.toDF("rep", "rep_n"), "rep").join(sizes, "cls")
-    pairs = pairs.where(F.lit(100) * F.least("n", "rep_n") >= F.lit(percent) * F.greatest("n", "rep_n"))
+    pairs = members.where(F.lit(100) * F.least("n", "rep_n") >= F.lit(percent) * F.greatest("n", "rep_n"))
     sketches = classes.select("cls", "sketch")
     pairs = pairs.join(sketches.toDF("rep", "rep_sketch"), "rep").join(sketches, "cls")
 
@@ -332,14 +334,14 @@ def near_duplicates(
 
     both = pairs.join(sets.toDF("rep", "rep_values"), "rep").join(sets, "cls")
     links = staging.keep(both.mapInArrow(linked, "rep long, cls long").toDF("a", "b"), "links")
-    comps = staging.keep(components(links, staging, "star"), "comps")
+    comps, stars = components(links, staging, "star")
 
     # Step 4: members of one group in different components. Sizes a link allows lie in one class of sizes or in
     # neighbouring ones; each member is at home in its class and a guest in the next.
     step = math.log(100 / percent) * 1.0001
     sized = F.floor(F.log("n") / step).cast("int")
     known = (
-        members.join(sizes, "cls").join(comps.toDF("cls", "component"), "cls", "left")
+        members.join(comps.toDF("cls", "component"), "cls", "left")
         .select("rep", "cls", "n", F.coalesce("component", "cls").alias("comp"), F.explode(F.array(sized, sized + 1)).alias("sized"))
         .withColumn("home", F.col("sized") == sized)
     )
@@ -375,9 +377,11 @@ def near_duplicates(
         possible.join(sets.union(more), "cls").repartition(parts, *KEYS).sortWithinPartitions(*KEYS)
         .mapInArrow(lambda b: _confirmed(b, percent), "a long, b long")
     )
-    links = staging.keep(links.union(confirmed), "all-links")
-    comps = components(links, staging, "all").toDF("cls", "component")
-    staging.drop("members", "wanted", "pairs", "sets", "more-sets", "possible", "links", "comps")
+    # The components found so far stand for their links.
+    links = staging.keep(comps.toDF("a", "b").union(confirmed), "all-links")
+    comps, _ = components(links, staging, "all")
+    comps = comps.toDF("cls", "component")
+    staging.drop("members", "wanted", "pairs", "sets", "more-sets", "possible", "links", "all-links", stars)
 
     whole = classes.select("cls", "first", "k1", "k2", "n").join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
