@@ -13,10 +13,10 @@ def components(links: DataFrame, staging: Staging, name: str) -> tuple[DataFrame
     smallest node.
 
     Alternates large stars (larger neighbours move to the smallest neighbour) and small stars (smaller ones
-    do) until the links are stars. A node's links meet sorted, in a window that spills, so each of the two is one
-    shuffle, and a hub of any degree is never one task's list. Links never get more. A large star also sees
-    whether it was given stars: where a node has a smaller neighbour, that is its only one. Each round is a
-    written table.
+    do) until the links are stars. Each of the two is one shuffle: a node's links meet sorted in one task, in a
+    window's buffer, which spills, so a hub's are two numbers a link on disk and no list in memory. Links never get
+    more. A large star also sees whether it was given stars: where a node has a smaller neighbour, that is its
+    only one. Each round is a written table.
     """
     around = Window.partitionBy("u").orderBy("v")
 
